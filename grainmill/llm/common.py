@@ -94,54 +94,78 @@ def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def range_cuts(df: DataFrame, key: str, weight: Column, parts: int, bins: int = 4096, depth: int = 6) -> list[int]:
-    """Deterministic cut points of an integer key: part p holds keys in [cuts[p-1], cuts[p]).
+class Ranges:
+    """Parts of an integer key's range, of about equal weight and the same in every run.
 
-    Exact weights of equal-width bins, refined where one bin outweighs a part, so
-    that neither an outlying key nor the sampling of a run moves a cut.  The driver
-    gets at most ``bins`` rows for each of at most ``depth`` passes.
+    Exact weights of equal-width bins, refined once where a bin outweighs a part, decide
+    the cuts: neither sampling nor task order moves them.  The driver gets at most
+    ``2 * bins`` rows.  Looking up a key's part takes one or two array accesses.
     """
-    low, high, total = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
-    if low is None or parts < 2 or not total:
-        return []
-    goal = total / parts
-    edges: list[tuple[int, int, float]] = []
-    todo = [(int(low), int(high) + 1)]
-    for level in range(depth):
-        each = max(2, bins // len(todo))
-        spans = [(a, b, max(1, -(-(b - a) // each))) for a, b in todo]
-        which = F.lit(None).cast("int")
-        at = F.lit(None).cast("long")
-        for i, (a, b, width) in enumerate(spans):
-            inside = (F.col(key) >= a) & (F.col(key) < b)
-            which = F.when(inside, F.lit(i)).otherwise(which)
-            at = F.when(inside, F.expr(f"cast((cast({key} as decimal(38,0)) - {a}) div {width} as bigint)")).otherwise(at)
-        found = (
-            df.select(which.alias("i"), at.alias("b"), weight.alias("w"))
-            .where("i is not null").groupBy("i", "b").agg(F.sum("w").alias("w")).collect()
-        )
-        todo = []
-        for i, b, w in found:
-            a, end, width = spans[i]
-            span = (a + b * width, min(end, a + (b + 1) * width), float(w or 0))
-            if span[2] > goal / 2 and width > 1 and level < depth - 1 and len(todo) < 64:
-                todo.append(span[:2])
+
+    def __init__(self, df: DataFrame, key: str, weight: Column, part_weight: float, least: int = 1, bins: int = 16384) -> None:
+        self.key = key
+        low, high, total = df.agg(F.min(key), F.max(key), F.sum(weight.cast("double"))).first()
+        self.parts = 1
+        self.tables: list[tuple[int, int, list[int]]] = []
+        if low is None or low == high or not total:
+            return
+        goal = total / max(least, -(-total // part_weight))
+        width = -(-(high + 1 - low) // bins)
+        top = self._weights(df, weight, self._bin(low, width), (F.col(key) >= low))
+        heavy = sorted((b for b, w in top.items() if w > goal and width > 1), key=lambda b: -top[b])[:64]
+        inner = -(-width // max(2, bins // max(1, len(heavy))))
+        below: dict[int, dict[int, float]] = {b: {} for b in heavy}
+        if heavy:
+            place = F.lit(None).cast("long")
+            for i, b in enumerate(heavy):
+                start = low + b * width
+                inside = (F.col(key) >= start) & (F.col(key) < start + width)
+                place = F.when(inside, self._bin(start, inner) + i * (width // inner + 1)).otherwise(place)
+            for at, w in self._weights(df, weight, place, place.isNotNull()).items():
+                i, b = divmod(at, width // inner + 1)
+                below[heavy[i]][b] = w
+        filled, part = 0.0, 0
+
+        def place_of(w: float) -> int:
+            nonlocal filled, part
+            if filled >= goal:
+                part, filled = part + 1, 0.0
+            filled += w
+            return part
+
+        first: list[int] = []
+        for b in range(-(-(high + 1 - low) // width)):
+            if b in below:
+                first.append(-1 - len(self.tables))
+                self.tables.append((low + b * width, inner, [place_of(below[b].get(i, 0.0)) for i in range(-(-width // inner))]))
             else:
-                edges.append(span)
-        if not todo:
-            break
-    cuts, filled = [], 0.0
-    for a, _, w in sorted(edges):
-        if filled >= goal and (not cuts or a > cuts[-1]):
-            cuts.append(a)
-            filled = 0.0
-        filled += w
-    return cuts
-
-
-def part_of(key: str, cuts: list[int]) -> Column:
-    """Number of the part that holds key; nulls are in part 0."""
-    if not cuts:
-        return F.lit(0)
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts])
-    return F.coalesce(F.size(F.filter(edges, lambda c: c <= F.col(key))), F.lit(0))
+                first.append(place_of(top.get(b, 0.0)))
+        self.tables.append((low, width, first))
+        self.parts = part + 1
+
+    def _bin(self, low: int, width: int) -> Column:
+        return F.expr(f"cast((cast(`{self.key}` as decimal(20,0)) - {low}) div {width} as bigint)")
+
+    def _weights(self, df: DataFrame, weight: Column, at: Column, kept: Column) -> dict[int, float]:
+        found = df.where(kept).select(at.alias("b"), weight.cast("double").alias("w")).groupBy("b").agg(F.sum("w")).collect()
+        return {r[0]: r[1] for r in found}
+
+    def part(self) -> Column:
+        """The key's part; rows without a key are in part 0."""
+        if not self.tables:
+            return F.lit(0)
+        columns = [F.element_at(constants(t), (self._bin(low, width) + 1).cast("int")) for low, width, t in self.tables]
+        found = columns[-1]
+        for i, column in enumerate(columns[:-1]):
+            found = F.when(columns[-1] == -1 - i, column).otherwise(found)
+        return F.coalesce(found, F.lit(0))
+
+
+def constants(values: list[int], kind: str = "int") -> Column:
+    """A constant array, folded once instead of an expression for each element."""
+    return F.from_json(F.lit("[" + ",".join("null" if v is None else str(v) for v in values) + "]"), f"array<{kind}>")
+
+
+def deal(df: DataFrame, part: str, parts: int) -> DataFrame:
+    """Rows by number of part, each part a partition of its own."""
+    return df.repartitionById(parts, F.col(part).cast("int"))
