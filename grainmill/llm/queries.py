@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of the operators; each has QUERY (name), query(spark, sf_dir), and ORACLE_SQL (or None).
-MODULES = ("secrets", "digest", "warc", "langid", "quality", "neighbours", "mixing", "simhash", "bpe")
+MODULES = ("secrets", "digest", "warc", "langid", "quality", "neighbours", "blocks", "mixing", "simhash", "bpe")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
