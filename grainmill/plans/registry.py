@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,32 +28,11 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     """All relational queries."""
+    import_module("grainmill.plans.suite")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Oracle SQL of those queries that have one."""
+    import_module("grainmill.plans.suite")
     return dict(_ORACLES)
-
-
-@register(
-    "flagship",
-    """SELECT c.c_mktsegment AS segment, o.o_orderpriority AS priority, count(*) AS n_orders,
-    cast(sum(cast(round(o.o_totalprice * 100) AS bigint)) AS bigint) AS cents
-    FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey
-    WHERE o.o_orderstatus <> 'P' GROUP BY 1, 2""",
-)
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue in cents by market segment and order priority."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return (
-        orders.where(F.col("o_orderstatus") != "P")
-        .join(customer, F.col("c_custkey") == F.col("o_custkey"))
-        .groupBy(F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"))
-        .agg(
-            F.count("*").alias("n_orders"),
-            F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"),
-        )
-        .orderBy("segment", "priority")
-    )

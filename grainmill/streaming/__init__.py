@@ -1,0 +1 @@
+"""No operator here reads streams: the engine's queries are batch queries over declared tables."""
