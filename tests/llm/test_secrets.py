@@ -1,0 +1,69 @@
+"""Secret scans against patterns run one by one, and the battery on random and ordinary tokens."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+
+from grainmill.llm import secrets
+
+BASE = {
+    "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 6),
+    "access": (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20),
+    "hex": (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24),
+}
+
+
+def plain(text):
+    found = [(k, *m.span()) for k, (p, flags, good) in BASE.items() for m in re.finditer(p, text or "", flags) if good(m)]
+    return sorted(found, key=lambda s: (s[1], list(BASE).index(s[0])))
+
+
+def test_rows(spark, odd_docs, odd_rows, no_docs):
+    got = secrets.secret_scan(odd_docs).collect()
+    assert len(got) == len(odd_rows) and secrets.secret_scan(no_docs).count() == 0
+    expected = []
+    for doc_id, text, *_ in odd_rows:
+        spans = plain(text)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        expected.append((doc_id, *(sum(s[0] == k for s in spans) for k in BASE), hashlib.sha256(joined.encode()).hexdigest()))
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)) for r in got)
+
+
+def test_base_spans_on_made_texts():
+    draw = random.Random(1)
+    parts = ["token", "TOKEN", "toKen", "apikey", "api_key", "password", "passwd", " ", "=", ":", '"', "'", "é", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "x", "-", ".", "secret", "\n", "aKIA"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 25)))
+        assert [s for s in secrets.scan(text) if s[0] != "random"] == plain(text), text
+
+
+def test_battery_finds_random_tokens_and_spares_words():
+    draw = random.Random(2)
+    found = 0
+    for _ in range(200):
+        raw = bytes(draw.randrange(256) for _ in range(30))
+        token = base64.b64encode(raw).decode()
+        found += any(k == "random" for k, *_ in secrets.scan(f"we saw {token} here"))
+    assert found >= 190
+    ordinary = "thattionoforanderingsh internationalization getElementByIdAndClassName zzzzzzzzzzzzzzzzzzzzzzzzz 12345678901234567890123 /usr/local/share/python3/packages/readme a-very-long-hyphenated-slug-of-words ABCABCABCABCABCABCABCABC snake_case_identifier_name_of_some_length"
+    assert secrets.scan(ordinary) == []
+    assert secrets.encoding("deadbeef00") == "hex" and secrets.encoding("123") is None and secrets.encoding("Ab-_9") == "base64url"
+
+
+def test_level_follows_the_number_of_candidates():
+    token, word = "q7Zk2Xv9Lp4Wt8Rb3Nj6", "thattionoforanderingsh"
+    level = 2 ** (4 - secrets.evidence(token, secrets.encoding(token)))
+    assert secrets.discoveries([token], level) == [True]
+    assert secrets.discoveries([token, *[word] * 1000], level)[0] is False
+    assert secrets.discoveries([token] * 1000, level) == [True] * 1000  # many discoveries bear a lower bar each
+
+
+def test_redacted_documents(spark, odd_docs, odd_rows, no_docs):
+    got = secrets.redact(odd_docs).collect()
+    assert len(got) == len(odd_rows) and secrets.redact(no_docs).count() == 0
+    by = {r.doc_id: r for r in got}
+    assert by[-7].text == "[SECRET]' and [SECRET]" and by[-7].n_chars == len(by[-7].text)
+    assert by[0].text == odd_rows[0][1] and by[300].text is None and by[2**62].text == "[SECRET]"
