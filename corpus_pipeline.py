@@ -11,8 +11,8 @@ columns of documents.
 4. mix: documents are repeated and cut so that sources meet their target weights.
 5. tokens: every row is encoded and decoded again.
 
-Near duplicates are taken by the operator's own contract (words in shingles of three, at most
-three differing bits of 64), whose links are exact.
+Near duplicates are texts whose shingles of five words are similar by 0.8 or more, as SimHash
+fingerprints tell; all links of at most three differing bits are found.
 """
 
 from __future__ import annotations

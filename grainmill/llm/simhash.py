@@ -12,7 +12,8 @@ segment i, codeword of segment j) for i != j, and the codewords of two segments
 (of all three where there are very many fingerprints).  Keys meet in one shuffle; pairs are
 verified run by run over distinct fingerprints, and each task keeps only links that join
 what it has not joined yet, so that a group of near copies yields a tree rather than its
-pairs.  Trees grow into components by alternating large and small stars, written to the
+pairs.  Near copies by shingle similarity differ in more bits than segments can tell; for
+them, fingerprints of word sets give further keys, and shingles' fingerprints verify.  Trees grow into components by alternating large and small stars, written to the
 shared folder after each round.
 
 Defined cases: null text counts as empty; texts without words have fingerprint 0 and link
@@ -39,6 +40,8 @@ ORACLE_SQL = None
 #: Words of a shingle, differing bits that link, hash seed.
 WORDS, BITS, SEED = 3, 3, 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Seeds of the fingerprints of word sets, and the bits in which near copies' may differ.
+WORD_SEEDS, WORD_BITS = (42, 43), 8
 #: Distinct fingerprints from which the last kind of key takes all three segments.
 MANY = 20_000_000
 #: Fingerprints that a task remembers to have joined; then it starts afresh.
@@ -62,6 +65,32 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def word_print(text: str | None, seed: int) -> int:
+    """64-bit SimHash over the set of a text's words."""
+    own = sorted(set((text or "").encode("utf-8", "replace").lower().split()))
+    if not own:
+        return 0
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 14):
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in own[at : at + (1 << 14)]], "<u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<u8")[0])
+
+
+def signed(fp: int) -> int:
+    """The same 64 bits as a signed number."""
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def bits_of(similarity: float, words: int, deviations: float = 2.5) -> int:
+    """Bits in which three fingerprints (one of shingles, two of words) of texts of such shingle similarity
+    (Jaccard) differ in all, but for chance beyond so many standard deviations: a bit differs with the
+    angle between two vectors over pi, and a shingle stays where all its words do."""
+    kept = 2 * similarity / (1 + similarity)
+    shares = np.arccos([kept, kept ** (1 / words), kept ** (1 / words)]) / np.pi
+    return int(64 * shares.sum() + deviations * np.sqrt(64 * (shares * (1 - shares)).sum()))
+
+
 class Golay:
     """Decoding tables of the code with generator x^11+x^9+x^7+x^6+x^5+x+1, made by rule."""
 
@@ -107,28 +136,37 @@ class Golay:
 _GOLAY: list[Golay] = []
 
 
-def keys_of(prints: np.ndarray, wide: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(keys, fingerprints, whether they carry all near codewords) of an array of unsigned fingerprints."""
+def keys_of(prints: np.ndarray, wide: bool, loose: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, positions of their fingerprints, whether they carry all near codewords) of unsigned fingerprints.
+
+    ``loose`` keys are the codewords of each two segments: they meet for certain where both differ
+    in one bit at most, and often where they differ in two or three.
+    """
     if not _GOLAY:
         _GOLAY.append(Golay())
     parts = [(prints >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
     near = [_GOLAY[0].near(p) for p in parts]
+    own = np.arange(len(prints))
     # six columns of candidates; those that do not count are -1
     six = [np.c_[one, np.where(far[:, None], five, -1)] for one, five, far in near]
-    kinds = [(i, j) for i in range(3) for j in range(3) if i != j]
-    for kind, (i, j) in enumerate(kinds):
-        head = (kind << 34 | parts[i] << 12)[:, None]
-        yield (head | near[j][0][:, None]).ravel(), prints, False
-        kept = six[j] >= 0
-        yield (head | six[j])[kept], np.repeat(prints, kept.sum(1)), True
-    last = near[0][0] << 12 | near[1][0]
-    all_ = np.where((six[0][:, :, None] >= 0) & (six[1][:, None, :] >= 0), six[0][:, :, None] << 12 | six[1][:, None, :], -1).reshape(len(prints), -1)
-    if wide:
-        last = last << 12 | near[2][0]
-        all_ = np.where((all_[:, :, None] >= 0) & (six[2][:, None, :] >= 0), all_[:, :, None] << 12 | six[2][:, None, :], -1).reshape(len(prints), -1)
-    kept = all_ >= 0
-    yield last | 6 << 37, prints, False
-    yield (all_ | 6 << 37)[kept], np.repeat(prints, kept.sum(1)), True
+
+    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where((a[:, :, None] >= 0) & (b[:, None, :] >= 0), a[:, :, None] << 12 | b[:, None, :], -1).reshape(len(prints), -1)
+
+    together = [(0, 1), (0, 2), (1, 2)] if loose else [(0, 1)]
+    if not loose:
+        for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
+            head = (kind << 34 | parts[i] << 12)[:, None]
+            yield (head | near[j][0][:, None]).ravel(), own, False
+            kept = six[j] >= 0
+            yield (head | six[j])[kept], np.repeat(own, kept.sum(1)), True
+    for kind, (i, j) in enumerate(together, 6):
+        last, all_ = near[i][0] << 12 | near[j][0], both(six[i], six[j])
+        if wide and not loose:
+            last, all_ = last << 12 | near[2][0], both(all_, six[2])
+        kept = all_ >= 0
+        yield last | kind << 37, own, False
+        yield (all_ | kind << 37)[kept], np.repeat(own, kept.sum(1)), True
 
 
 class Joined:
@@ -157,62 +195,83 @@ class Joined:
         return True
 
 
-def verified(near: np.ndarray, all_: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Pairs (n, 2) of one run that differ in at most ``bits`` bits, block by block."""
-    for a in range(0, len(all_), 2048):
-        for b in range(0, len(near), 2048):
-            apart = np.bitwise_count(all_[a : a + 2048, None] ^ near[None, b : b + 2048])
-            i, j = np.nonzero((apart <= bits) & (apart > 0))
-            if len(i):
-                yield np.c_[all_[a + i], near[b + j]]
-
-
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) of distinct fingerprints (fp long) that span the same components as all links."""
+def tree(prints: np.ndarray, nodes: np.ndarray, more: np.ndarray, bits: int, total: int, known: Joined) -> Iterator[tuple[int, int]]:
+    """New links that span the links among the rows of one run: from a row to all rows near it that
+    nothing has reached yet, and on from those.  Rows that are joined already cost one look each."""
+    rows = list(dict.fromkeys(zip(prints.tolist(), nodes.tolist(), more.tolist(), strict=True)))
+    if len({known.root(n) for _, n, _ in rows}) < 2:
+        return
+    left = np.array(rows, np.uint64)
+    reached: list[np.ndarray] = []
+    while len(left) or reached:
+        if not reached:
+            reached.append(left[:1])
+            left = left[1:]
+        for row in reached.pop():
+            apart = np.bitwise_count(left ^ row)
+            near = (apart[:, 0] <= bits) & (apart.sum(1) <= total)
+            if near.any():
+                yield from ((int(row[1]), other) for other in left[near, 1].tolist() if known.new(int(row[1]), other))
+                reached.append(left[near])
+                left = left[~near]
+
+
+def links(prints: DataFrame, bits: int = BITS, total: int = 3 * BITS) -> DataFrame:
+    """Links (a, b) of nodes that span the same components as all links.
+
+    prints (fp, node, more: long): rows link if their fingerprints fp differ in at most ``bits`` bits and
+    all three (node and more are fingerprints as well) in at most ``total``.  Up to three bits no link
+    is lost; keys for more bits are loose.
+    """
     spark = prints.sparkSession
     prepare(spark)
-    wide = prints.count() >= MANY
-    key_schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("all", pa.bool_())])
+    wide, loose = prints.count() >= MANY, bits > BITS
+    key_schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("more", pa.int64()), ("all", pa.bool_())])
+    step = 512 if wide else 2048
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(own), 512 if wide else 2048):
-                for keys, fps, side in keys_of(own[at : at + (512 if wide else 2048)], wide):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64)), pa.array(np.full(len(keys), side))], schema=key_schema)
+            fps, nodes, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for at in range(0, len(fps), step):
+                own = fps[at : at + step].view(np.uint64)
+                for keys, rows, side in keys_of(own, wide, loose):
+                    columns = [keys, fps[at + rows], nodes[at + rows], more[at + rows], np.full(len(keys), side)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=key_schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Joined()
-        rest = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)]
+        rest = [np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 3, np.empty(0, bool)]
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def of(keys: np.ndarray, fps: np.ndarray, all_: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edges = []
+        def of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, more: np.ndarray, all_: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edges: list[tuple[int, int]] = []
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
             n_all = np.add.reduceat(all_.astype(np.int64), starts)
             n_near = sizes - n_all
-            small = (n_all > 0) & (n_near > 0) & (sizes > 2) & (n_all * n_near <= 4096)
+            some = (n_all > 0) & (n_near > 0) & (sizes > 2)
+            small = some & (n_all * n_near <= 64)
             # rows of a run: nearest codewords first, then all of them
             if small.any():
                 s, a, n = starts[small], n_all[small], n_near[small]
                 each = a * n
                 run = np.repeat(np.arange(len(s)), each)
                 within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                x, y = fps[s[run] + within % n[run]], fps[s[run] + n[run] + within // n[run]]
-                apart = np.bitwise_count(x ^ y)
-                found = (apart <= bits) & (apart > 0)
-                edges += [(a, b) for a, b in zip(x[found].tolist(), y[found].tolist(), strict=True) if known.new(a, b)]
-            for k in np.flatnonzero((n_all > 0) & (n_near > 0) & (n_all * n_near > 4096)):
-                own = fps[starts[k] : starts[k] + sizes[k]]
-                for pairs in verified(own[: n_near[k]], own[n_near[k] :], bits):
-                    edges += [(a, b) for a, b in pairs.tolist() if known.new(a, b)]
+                x, y = s[run] + within % n[run], s[run] + n[run] + within // n[run]
+                apart = np.bitwise_count(fps[x] ^ fps[y])
+                found = np.flatnonzero((apart <= bits) & (nodes[x] != nodes[y]))
+                x, y, apart = x[found], y[found], apart[found]
+                found = apart + np.bitwise_count(nodes[x] ^ nodes[y]) + np.bitwise_count(more[x] ^ more[y]) <= total
+                edges += [(a, b) for a, b in zip(nodes[x[found]].tolist(), nodes[y[found]].tolist(), strict=True) if known.new(a, b)]
+            for k in np.flatnonzero(some & ~small):
+                at = slice(starts[k], starts[k] + sizes[k])
+                edges += tree(fps[at], nodes[at], more[at], bits, total, known)
             if edges:
                 pairs = np.array(edges, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy().view(np.uint64), batch.column(4).to_numpy(zero_copy_only=False)]
             rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
             if not len(rows[0]):
                 continue
@@ -222,7 +281,7 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
         if len(rest[0]):
             yield from of(*rest)
 
-    keys = prints.select("fp").mapInArrow(keyed, "key long, fp long, all boolean")
+    keys = prints.select("fp", "node", "more").mapInArrow(keyed, "key long, fp long, node long, more long, all boolean")
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return keys.repartition(n, "key").sortWithinPartitions("key", "all").mapInArrow(joined, "a long, b long")
 
@@ -248,36 +307,53 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grouped(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """Per row of docs: doc_id, h (hash of the text), fp (signed), and of its component: root, lead (null flag, doc_id, h)."""
+def grouped(docs: DataFrame, words: int = WORDS, bits: int = BITS, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs: doc_id, h (hash of the text), fp (signed), and of its component: root, lead (null flag, doc_id, h).
+    Then the written table of the rows' doc_id, h and fp alone.
+
+    With a ``similarity``, texts link as well where a fingerprint of their word sets, under one of two
+    seeds, is near (``WORD_BITS``; such a text keeps most of its words), and all fingerprints together
+    differ in no more bits than those of texts of that similarity do.
+    """
+    seeds = WORD_SEEDS if similarity else ()
 
     def work(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text, h in rows:
-            fp = fingerprint(text, words)
-            yield doc_id, h, fp - (1 << 64) if fp >> 63 else fp
+            yield doc_id, h, signed(fingerprint(text, words)), [signed(word_print(text, seed)) for seed in seeds]
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(map_rows(own.withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, fp long", chunk=4096), "prints")
+    prints = cut(map_rows(own.withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, fp long, sets array<long>", chunk=4096), "prints")
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     classes = cut(prints.groupBy("fp").agg(F.min(lead).alias("lead")), "classes")
-    roots = components(links(classes.select("fp"), bits))
+    found = links(classes.select("fp", F.col("fp").alias("node"), F.col("fp").alias("more")), bits, 3 * bits)
+    for i in range(len(seeds)):
+        other = F.col("sets")[1 - i]
+        sets = cut(prints.select(F.col("sets")[i].alias("fp"), F.col("fp").alias("node"), other.alias("more")).distinct(), "sets")
+        found = found.union(links(sets, WORD_BITS, bits_of(similarity, words)))
+    roots = components(found)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     leads = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
-    return prints.join(rooted.select("fp", "root").join(leads, "root"), "fp").select("doc_id", "h", "fp", "root", "lead")
+    return prints.join(rooted.select("fp", "root").join(leads, "root"), "fp").select("doc_id", "h", "fp", "root", "lead"), prints
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """Per row of docs: doc_id, fingerprint, component_id (the smallest doc_id reachable)."""
-    return grouped(docs, words, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead.doc_id").alias("component_id"))
+    return grouped(docs, words, bits)[0].select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead.doc_id").alias("component_id"))
+
 
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each component, unchanged: that with the smallest doc_id (of equal ids, by hash of the text).
 
-def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One document of each component, unchanged: that with the smallest doc_id (of equal ids, by hash of the text)."""
-    leads = grouped(docs, words, bits).select("lead.doc_id", "lead.h").distinct()
+    Texts of at least that similarity over shingles of ``words`` words count as near copies.
+    """
+    rows, prints = grouped(docs, words, BITS, similarity)
+    leads = rows.select("lead.doc_id", "lead.h").distinct().alias("leads")
     own = docs.select(*DOCUMENT_COLUMNS).withColumn("h", F.xxhash64(F.col("text").cast("string"))).alias("own")
-    leads = leads.alias("leads")
     same = F.col("own.doc_id").cast("long").eqNullSafe(F.col("leads.doc_id")) & (F.col("own.h") == F.col("leads.h"))
-    return own.join(leads, same, "left_semi").dropDuplicates(["doc_id", "h"]).select(*DOCUMENT_COLUMNS)
+    kept = own.join(leads, same, "left_semi")
+    if not prints.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "h"])  # rows that repeat with id and text; else texts need no second shuffle
+    return kept.select(*DOCUMENT_COLUMNS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def near_prints(n, seed):
 def test_no_link_is_lost(spark, monkeypatch):
     prints = near_prints(250, 4)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(s,) for s in signed], "fp long").repartition(3)
+    df = spark.createDataFrame([(s, s, s) for s in signed], "fp long, node long, more long").repartition(3)
     expected = plain_groups(prints, signed)
     for many in (10**9, 1):  # both kinds of keys
         monkeypatch.setattr(simhash, "MANY", many)
