@@ -197,4 +197,56 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLE_SQL = None
+#: The same in DuckDB's SQL.  Awards before the last shard's end need no shards of their own, and
+#: prefix sums no slices: the order within a source is the same.
+ORACLE_SQL = f"""
+WITH docs AS (
+    SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5(coalesce(text, '')) AS h,
+        cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS bigint) AS size,
+        cast('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id AS varchar), '')), 1, 15) AS bigint) AS slot
+    FROM documents
+), sized AS (
+    SELECT skey, cast(sum(size) AS bigint) AS source_size FROM docs GROUP BY skey
+), ranked AS (
+    SELECT *, row_number() OVER (ORDER BY skey) - 1 AS rank, (row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS weight,
+        cast(sum(source_size) OVER () AS bigint) AS total FROM sized
+), ratios AS (
+    SELECT *, {MOST}.0::double * source_size / weight AS ratio FROM ranked
+), levels AS (
+    SELECT *, cast(total - coalesce(sum({MOST} * source_size) OVER before, 0) AS double)
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM ratios WINDOW before AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), wanted AS (
+    SELECT skey, source_size, rank, total, least({MOST}.0::double * source_size,
+        coalesce(max(CASE WHEN level <= ratio THEN level END) OVER () * weight, 0)) AS target FROM levels
+), bounds AS (
+    SELECT *, count(*) OVER () AS n_sources, total // {BLOCK} AS awards FROM wanted
+), certain AS (
+    SELECT *, CASE WHEN 2 * awards > n_sources
+        THEN cast(greatest(0, floor((target * (2 * awards - n_sources) / total + 1) / 2) - 1) AS bigint) ELSE 0 END AS low,
+        CASE WHEN total > 0 THEN cast(ceil((target * (2 * awards + n_sources) / total + 1) / 2) + 1 AS bigint) ELSE 0 END AS high
+    FROM bounds
+), next_ones AS (
+    SELECT skey, rank, low, unnest(range(low, high + 1)) AS j, target, awards FROM certain
+), placed AS (
+    SELECT skey, low, target / (2 * j + 1) AS quotient,
+        row_number() OVER (ORDER BY target / (2 * j + 1) DESC, rank) AS place,
+        awards - (SELECT sum(low) FROM certain) AS open FROM next_ones
+), quotas AS (
+    SELECT skey, cast(max(low) + sum(CASE WHEN place <= open AND quotient > 0 THEN 1 ELSE 0 END) AS bigint) AS quota FROM placed GROUP BY skey
+), walks AS (
+    SELECT skey, source_size, target, (source_size + {BLOCK - 1}) // {BLOCK} AS n,
+        least(quota, {MOST} * ((source_size + {BLOCK - 1}) // {BLOCK})) AS quota FROM quotas JOIN wanted USING (skey)
+), steps AS (
+    SELECT *, CASE WHEN n > 0 THEN quota // n ELSE 0 END AS rounds, CASE WHEN n > 0 THEN quota % n ELSE 0 END AS extra,
+        CASE WHEN n > 0 THEN cast('0x' || substr(md5('{SEED}:' || skey), 1, 15) AS bigint) % n ELSE 0 END AS start,
+        CASE {' '.join(f'WHEN n % {p} <> 0 THEN {p}' for p in STEPS)} ELSE 1 END AS step FROM walks
+), spans AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY slot, doc_id NULLS FIRST, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first
+    FROM docs
+)
+SELECT doc_id, size, source_size, target, cast(rounds * size + CASE WHEN size > 0 AND extra > 0 THEN coalesce(list_sum(
+    [least(first + size, (b + 1) * {BLOCK}) - greatest(first, b * {BLOCK})
+     FOR b IN range(first // {BLOCK}, (first + size - 1) // {BLOCK} + 1) IF (b * step + start) % n < extra]), 0) ELSE 0 END AS bigint) AS taken
+FROM spans JOIN steps USING (skey)
+"""

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import Ranges, deal, map_rows, scratch
 
 QUERY = "op3_warc_shards"
-ORACLE_SQL = None
 
 #: Compressed bytes after which a file rolls, payload bytes in a range, and from which payloads are revisited.
 ROLL_BYTES, RANGE_BYTES, LEAST = 64 << 20, 128 << 20, 100
@@ -212,4 +211,19 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, as the archives have it."""
     folder = scratch(spark, "warc")
-    return read(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), folder)
+    return read(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), folder).drop("warc")
+
+
+#: What the archives must give back, in DuckDB's SQL.
+ORACLE_SQL = f"""
+SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+    CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least_id END AS refers_to
+FROM (
+    SELECT page_id, html, least_id, strlen(html) >= {LEAST} AND least_id IS NOT NULL AND (page_id IS DISTINCT FROM least_id OR place > 1) AS again
+    FROM (
+        SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_id,
+            row_number() OVER (PARTITION BY coalesce(html, ''), page_id) AS place
+        FROM pages
+    )
+)
+"""
