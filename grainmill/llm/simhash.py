@@ -44,8 +44,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 WORD_SEEDS, WORD_BITS = (42, 43), 8
 #: Distinct fingerprints from which the last kind of key takes all three segments.
 MANY = 20_000_000
-#: Fingerprints that a task remembers to have joined; then it starts afresh.
-JOINED = 2_000_000
+#: Fingerprints that a task remembers to have joined; then it gives their links and starts afresh.
+JOINED = 500_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -172,6 +172,11 @@ def keys_of(prints: np.ndarray, wide: bool, loose: bool) -> Iterator[tuple[np.nd
 class Joined:
     """Union-find over fingerprints; says which links join anything new."""
 
+    def stars(self) -> list[tuple[int, int]]:
+        """All that was joined, each fingerprint linked to the smallest one that it reaches: tasks that
+        meet the same group mostly give the same links."""
+        return [(x, self.root(x)) for x in list(self.above)]
+
     def __init__(self) -> None:
         self.above: dict[int, int] = {}
 
@@ -186,8 +191,6 @@ class Joined:
         return x
 
     def new(self, a: int, b: int) -> bool:
-        if len(self.above) > JOINED:
-            self.above.clear()
         a, b = self.root(a), self.root(b)
         if a == b:
             return False
@@ -195,8 +198,8 @@ class Joined:
         return True
 
 
-def tree(prints: np.ndarray, nodes: np.ndarray, more: np.ndarray, bits: int, total: int, known: Joined) -> Iterator[tuple[int, int]]:
-    """New links that span the links among the rows of one run: from a row to all rows near it that
+def tree(prints: np.ndarray, nodes: np.ndarray, more: np.ndarray, bits: int, total: int, known: Joined) -> None:
+    """Join links that span the links among the rows of one run: from a row to all rows near it that
     nothing has reached yet, and on from those.  Rows that are joined already cost one look each."""
     rows = list(dict.fromkeys(zip(prints.tolist(), nodes.tolist(), more.tolist(), strict=True)))
     if len({known.root(n) for _, n, _ in rows}) < 2:
@@ -211,7 +214,8 @@ def tree(prints: np.ndarray, nodes: np.ndarray, more: np.ndarray, bits: int, tot
             apart = np.bitwise_count(left ^ row)
             near = (apart[:, 0] <= bits) & (apart.sum(1) <= total)
             if near.any():
-                yield from ((int(row[1]), other) for other in left[near, 1].tolist() if known.new(int(row[1]), other))
+                for other in left[near, 1].tolist():
+                    known.new(int(row[1]), other)
                 reached.append(left[near])
                 left = left[~near]
 
@@ -243,8 +247,14 @@ def links(prints: DataFrame, bits: int = BITS, total: int = 3 * BITS) -> DataFra
         rest = [np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 3, np.empty(0, bool)]
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, more: np.ndarray, all_: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edges: list[tuple[int, int]] = []
+        def given() -> Iterator[pa.RecordBatch]:
+            stars = known.stars()
+            for at in range(0, len(stars), 1 << 14):
+                pairs = np.array(stars[at : at + (1 << 14)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            known.above.clear()
+
+        def of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, more: np.ndarray, all_: np.ndarray) -> None:
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
             n_all = np.add.reduceat(all_.astype(np.int64), starts)
@@ -262,13 +272,11 @@ def links(prints: DataFrame, bits: int = BITS, total: int = 3 * BITS) -> DataFra
                 found = np.flatnonzero((apart <= bits) & (nodes[x] != nodes[y]))
                 x, y, apart = x[found], y[found], apart[found]
                 found = apart + np.bitwise_count(nodes[x] ^ nodes[y]) + np.bitwise_count(more[x] ^ more[y]) <= total
-                edges += [(a, b) for a, b in zip(nodes[x[found]].tolist(), nodes[y[found]].tolist(), strict=True) if known.new(a, b)]
+                for a, b in zip(nodes[x[found]].tolist(), nodes[y[found]].tolist(), strict=True):
+                    known.new(a, b)
             for k in np.flatnonzero(some & ~small):
                 at = slice(starts[k], starts[k] + sizes[k])
-                edges += tree(fps[at], nodes[at], more[at], bits, total, known)
-            if edges:
-                pairs = np.array(edges, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                tree(fps[at], nodes[at], more[at], bits, total, known)
 
         for batch in batches:
             new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy().view(np.uint64), batch.column(4).to_numpy(zero_copy_only=False)]
@@ -276,10 +284,14 @@ def links(prints: DataFrame, bits: int = BITS, total: int = 3 * BITS) -> DataFra
             if not len(rows[0]):
                 continue
             last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on
-            yield from of(*(r[:last] for r in rows)) if last else ()
+            if last:
+                of(*(r[:last] for r in rows))
             rest = [r[last:] for r in rows]
+            if len(known.above) > JOINED:
+                yield from given()
         if len(rest[0]):
-            yield from of(*rest)
+            of(*rest)
+        yield from given()
 
     keys = prints.select("fp", "node", "more").mapInArrow(keyed, "key long, fp long, node long, more long, all boolean")
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
