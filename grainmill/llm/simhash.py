@@ -12,10 +12,15 @@ segment i, codeword of segment j) for i != j, and the codewords of two segments
 (of all three where there are very many fingerprints).  Keys meet in one shuffle; pairs are
 verified run by run over distinct fingerprints, and each task keeps only links that join
 what it has not joined yet, so that a group of near copies yields a tree rather than its
-pairs.  Near copies by shingle similarity differ in more bits than segments can tell; for
-them, fingerprints of word sets give further keys, and shingles' fingerprints verify.  Trees grow into components by alternating large and small stars, written to the
+pairs.  Trees grow into components by alternating large and small stars, written to the
 shared folder after each round.
 
+Near copies by shingle similarity differ in more bits than segments can tell, so the pipeline's
+stage joins sets of shingles exactly.  In one order of all shingles, two sets of a similarity of
+``t`` share one of their first n - ceil(t n) + 1 shingles; these are the keys.  Each text is
+first compared with the first text of its keys; texts that this left in different components
+are paired key by key, and every link is decided by the two whole sets.
+
 Defined cases: null text counts as empty; texts without words have fingerprint 0 and link
 like any other; rows with equal doc_id each get their fingerprint; a row without doc_id
 never lends its id to a component, and a component of such rows only has id null.
@@ -23,13 +28,14 @@ never lends its id to a component, and a component of such rows only has id null
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import DOCUMENT_COLUMNS, cut, map_rows, prepare
@@ -46,6 +52,8 @@ WORD_SEEDS, WORD_BITS = (42, 43), 8
 MANY = 20_000_000
 #: Fingerprints that a task remembers to have joined; then it gives their links and starts afresh.
 JOINED = 500_000
+#: One text of so many tells which shingles are common, and how many of those at most go last in the order.
+SAMPLE, COMMON = 64, 100_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -319,51 +327,199 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grouped(docs: DataFrame, words: int = WORDS, bits: int = BITS, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per row of docs: doc_id, h (hash of the text), fp (signed), and of its component: root, lead (null flag, doc_id, h).
-    Then the written table of the rows' doc_id, h and fp alone.
-
-    With a ``similarity``, texts link as well where a fingerprint of their word sets, under one of two
-    seeds, is near (``WORD_BITS``; such a text keeps most of its words), and all fingerprints together
-    differ in no more bits than those of texts of that similarity do.
-    """
-    seeds = WORD_SEEDS if similarity else ()
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """Per row of docs: doc_id, fingerprint, component_id (the smallest doc_id reachable)."""
 
     def work(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text, h in rows:
-            yield doc_id, h, signed(fingerprint(text, words)), [signed(word_print(text, seed)) for seed in seeds]
+            yield doc_id, h, signed(fingerprint(text, words))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(map_rows(own.withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, fp long, sets array<long>", chunk=4096), "prints")
+    prints = cut(map_rows(own.withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, fp long", chunk=4096), "prints")
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     classes = cut(prints.groupBy("fp").agg(F.min(lead).alias("lead")), "classes")
-    found = links(classes.select("fp", F.col("fp").alias("node"), F.col("fp").alias("more")), bits, 3 * bits)
-    for i in range(len(seeds)):
-        other = F.col("sets")[1 - i]
-        sets = cut(prints.select(F.col("sets")[i].alias("fp"), F.col("fp").alias("node"), other.alias("more")).distinct(), "sets")
-        found = found.union(links(sets, WORD_BITS, bits_of(similarity, words)))
-    roots = components(found)
+    roots = components(links(classes.select("fp", F.col("fp").alias("node"), F.col("fp").alias("more")), bits, 3 * bits))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     leads = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
-    return prints.join(rooted.select("fp", "root").join(leads, "root"), "fp").select("doc_id", "h", "fp", "root", "lead"), prints
+    rows = prints.join(rooted.select("fp", "root").join(leads, "root"), "fp")
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead.doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """Per row of docs: doc_id, fingerprint, component_id (the smallest doc_id reachable)."""
-    return grouped(docs, words, bits)[0].select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead.doc_id").alias("component_id"))
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the set of a text's shingles; a shorter text is one shingle, an empty one as well."""
+    own = (text or "").encode("utf-8", "replace").lower().split()
+    line = b" ".join(own)
+    ends = (np.cumsum([len(w) + 1 for w in own]) - 1).tolist() or [0]
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    last = ends[words - 1 :] or ends[-1:]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, last, strict=False)), np.uint64, len(last)))
+
+
+def least_of(n: int, similarity: float) -> int:
+    """Fewest shingles that a set of n shares with one as similar."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def first_keys(own: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """First shingles of a set, of which two sets so similar share one.  The order is by hash, ``common`` ones last."""
+    late = np.isin(own, common) if len(common) else np.zeros(len(own), bool)
+    return np.r_[own[~late], own[late]][: len(own) - least_of(len(own), similarity) + 1]
+
+
+KEY_SCHEMA = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("c", pa.int64())])
+
+
+def packed_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs, the smaller node first, with the number of times that each is there."""
+    swap = a > b
+    a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+    order = np.lexsort((b, a))
+    a, b, na, nb = a[order], b[order], na[order], nb[order]
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    counts = np.diff(np.r_[starts, len(a)])
+    for at in range(0, len(starts), 1 << 14):
+        k = starts[at : at + (1 << 14)]
+        columns = [a[k], b[k], na[k].astype(np.int32), nb[k].astype(np.int32), counts[at : at + (1 << 14)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=PAIR_SCHEMA)
+
+
+def set_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span the same components as all pairs of texts (node, text; equal nodes have equal
+    texts) whose sets of shingles have that Jaccard similarity or more.  None is lost, and each link has it."""
+    spark = texts.sparkSession
+    prepare(spark)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for node, text in rows:
+            yield node, shingles(text, words).view(np.int64).tolist()
+
+    # frequent shingles of a sample go last in the order: any order finds all pairs, this one in shorter runs
+    some = map_rows(texts.where(F.pmod("node", F.lit(SAMPLE)) == 0), sets, "node long, own array<long>", chunk=16)
+    often = some.select(F.explode("own").alias("key")).groupBy("key").count().where(F.col("count") >= 8)
+    found = [r.key for r in often.orderBy(F.desc("count"), "key").limit(COMMON).collect()]
+    common = spark.sparkContext.broadcast(np.sort(np.array(found, np.int64).view(np.uint64)))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own = shingles(batch.column(1)[at].as_py(), words)
+                keys = first_keys(own, similarity, common.value).view(np.int64)
+                columns = [keys, np.full(len(keys), batch.column(0)[at].as_py(), np.int64), np.full(len(keys), len(own), np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=KEY_SCHEMA)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose key is there twice."""
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        again = False  # the row kept back has a key that was given already
+        for batch in batches:
+            rows = [np.concatenate((r, c.to_numpy())) for r, c in zip(rest, batch.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            same = rows[0][1:] == rows[0][:-1]
+            kept = np.r_[again, same][:-1] | same
+            yield pa.RecordBatch.from_arrays([pa.array(r[:-1][kept]) for r in rows], schema=KEY_SCHEMA)
+            again = bool(same[-1]) if len(same) else again
+            rest = [r[-1:] for r in rows]
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rest], schema=KEY_SCHEMA)
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the first row of a run and each other."""
+        first = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        for batch in batches:
+            key, node, n = (np.concatenate((r, c.to_numpy())) for r, c in zip(first, batch.columns, strict=True))
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            at = np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+            first = [key[at[-1:]], node[at[-1:]], n[at[-1:]]]
+            found = (node != node[at]) & (np.minimum(n, n[at]) >= similarity * np.maximum(n, n[at]) - 1e-9)
+            yield from packed_pairs(node[at[found]], node[found], n[at[found]], n[found])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs of a run that are not joined, some rows against the run at a time; they leave counted."""
+        held: list[list[np.ndarray]] = []
+
+        def given() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from packed_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held.clear()
+
+        def of(node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if (root == root[0]).all():
+                return
+            step = max(1, (1 << 18) // len(node))
+            for at in range(0, len(node), step):
+                x, y = slice(at, at + step), slice(at, None)
+                low, high = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
+                i, j = np.nonzero((root[x, None] != root[None, y]) & (low >= similarity * high - 1e-9))
+                i, j = i[i < j] + at, j[i < j] + at
+                if len(i):
+                    held.append([node[i], node[j], n[i], n[j]])
+                    if sum(len(h[0]) for h in held) > 1 << 18:
+                        yield from given()
+
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+        for batch in batches:
+            rows = [np.concatenate((r, c.to_numpy())) for r, c in zip(rest, batch.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield from of(*(r[a:b] for r in rows[1:]))
+            rest = [r[starts[-1] :] for r in rows]
+        if len(rest[0]):
+            yield from of(*rest[1:])
+        yield from given()
+
+    def counted(found: DataFrame, share: float) -> DataFrame:
+        """Pairs that share so many keys that they can be as similar: beyond its keys, one set of the two has all others at most."""
+        def others(n: str) -> Column:
+            return F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
+
+        needed = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6 - F.greatest(others("na"), others("nb"))
+        own = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
+        return cut(own.where(F.col("c") >= share * needed).select("a", "b"), "pairs")
+
+    def verified(edges: DataFrame) -> DataFrame:
+        """Those pairs whose sets are as similar."""
+        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        own = cut(map_rows(texts.join(ends, "node", "left_semi"), sets, "node long, own array<long>", chunk=16).dropDuplicates(["node"]), "sets")
+        both = edges.join(own.select(F.col("node").alias("a"), F.col("own").alias("one")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("other")), "b")
+        same = F.size(F.array_intersect("one", "other"))
+        return cut(both.where(same >= similarity * (F.size("one") + F.size("other") - same) - 1e-9).select("a", "b"), "links")
+
+    keys = texts.mapInArrow(keyed, "key long, node long, n int").repartition(tasks, "key").sortWithinPartitions("key")
+    keys = cut(keys.mapInArrow(shared, "key long, node long, n int"), "keys")
+    schema = "a long, b long, na int, nb int, c long"
+    found = verified(counted(keys.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(stars, schema), 0.5))
+    roots = cut(components(found), "roots")
+    left = keys.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    return found.union(verified(counted(left.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(pairs, schema), 1.0)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each component, unchanged: that with the smallest doc_id (of equal ids, by hash of the text).
 
-    Texts of at least that similarity over shingles of ``words`` words count as near copies.
+    Texts of at least that similarity over shingles of ``words`` words are linked, and no others.
     """
-    rows, prints = grouped(docs, words, BITS, similarity)
-    leads = rows.select("lead.doc_id", "lead.h").distinct().alias("leads")
-    own = docs.select(*DOCUMENT_COLUMNS).withColumn("h", F.xxhash64(F.col("text").cast("string"))).alias("own")
-    same = F.col("own.doc_id").cast("long").eqNullSafe(F.col("leads.doc_id")) & (F.col("own.h") == F.col("leads.h"))
-    kept = own.join(leads, same, "left_semi")
-    if not prints.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+    own = docs.select(*DOCUMENT_COLUMNS).withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = cut(own.select(F.col("doc_id").cast("long").alias("doc_id"), "h"), "rows")
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    classes = cut(rows.groupBy("h").agg(F.min(lead).alias("lead")), "classes")
+
+    def of(leads: DataFrame) -> DataFrame:
+        leads = leads.select("lead.doc_id", "lead.h").alias("leads")
+        same = F.col("own.doc_id").cast("long").eqNullSafe(F.col("leads.doc_id")) & (F.col("own.h") == F.col("leads.h"))
+        return own.alias("own").join(leads, same, "left_semi")
+
+    texts = of(classes).select(F.col("h").alias("node"), F.col("text").cast("string").alias("text"))
+    roots = components(set_links(texts, words, similarity)).withColumnRenamed("node", "h")
+    rooted = classes.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("lead").alias("lead"))
+    kept = of(rooted)
+    if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "h"])  # rows that repeat with id and text; else texts need no second shuffle
     return kept.select(*DOCUMENT_COLUMNS)
 

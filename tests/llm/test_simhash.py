@@ -96,3 +96,52 @@ def test_one_of_each_group_stays(spark, odd_docs, odd_rows, no_docs):
     own = [by_print[plain_print(r.text)] for r in kept]
     assert sorted(own) == sorted(set(groups))
     assert {r.doc_id for r in kept} >= {100 if 100 in {x[0] for x in odd_rows} else None}
+
+
+def plain_set(text):
+    own = text.lower().split()
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+
+
+def test_sets_link_exactly_from_the_similarity_on(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(60):
+        n = draw.randint(40, 300)
+        base = [word() for _ in range(n)]
+        texts.append(base)
+        k = int(n * draw.uniform(0.02, 0.3))
+        texts.append(base + [word() for _ in range(k)])  # an appended passage
+        texts.append(base[: n - k] + [word() for _ in range(k)])  # a replaced one
+        scattered = list(base)
+        for at in draw.sample(range(n), max(1, n // draw.randint(12, 60))):
+            scattered[at] = word()
+        texts.append(scattered)
+    texts = [" ".join(t) for t in texts]
+    sets = [plain_set(t) for t in texts]
+    above = list(range(len(texts)))
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                above[max(root(i), root(j))] = min(root(i), root(j))
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r.doc_id for r in simhash.keep_one(df.repartition(3)).collect())
+    assert kept == [i for i in range(len(texts)) if root(i) == i]
+
+
+def test_first_keys_of_similar_sets_meet():
+    draw = np.random.RandomState(6)
+    for _ in range(2000):
+        n = draw.randint(1, 60)
+        a = np.unique(draw.randint(0, 400, n).astype(np.uint64))
+        b = np.unique(np.r_[a[draw.rand(len(a)) < 0.9], draw.randint(0, 400, draw.randint(0, 6)).astype(np.uint64)])
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            for common in (np.empty(0, np.uint64), np.arange(0, 200, dtype=np.uint64)):
+                assert len(np.intersect1d(simhash.first_keys(a, 0.8, common), simhash.first_keys(b, 0.8, common)))
