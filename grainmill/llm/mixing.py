@@ -122,9 +122,15 @@ def primes_from(start: int, count: int) -> list[int]:
 STEPS = primes_from(82_951_000, 4)
 
 
+def reached(b: Column) -> Column:
+    """Whether the walk reaches block b of a source within its ``extra`` steps."""
+    return F.pmod(b * F.col("step") + F.col("start"), F.greatest(F.col("n"), F.lit(1))) < F.col("extra")
+
+
 def planned(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """Per row of docs: doc_id, h, size, source_size, target, rounds, taken, and lead: the first of the words
-    taken beyond whole rounds.  One pass over the texts: sizes are written once, then small columns only."""
+    """Per row of docs: doc_id, h, size, source_size, target, rounds, taken, and what tells which words are taken
+    beyond whole rounds: first (the row's first word in its source), n, step, start and extra (see ``reached``).
+    One pass over the texts: sizes are written once, then small columns only."""
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("skey"),
@@ -156,16 +162,13 @@ def planned(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     # words [first, last) of the source; those of block b that count are extra if the walk reaches b soon enough
     placed = placed.withColumn("first", F.col("offset") + F.col("before")).withColumn("last", F.col("first") + F.col("size"))
 
-    def reached(b: Column) -> Column:
-        return F.pmod(b * F.col("step") + F.col("start"), F.greatest(F.col("n"), F.lit(1))) < F.col("extra")
-
     def shared(b: Column) -> Column:
         return F.least(F.col("last"), (b + 1) * block) - F.greatest(F.col("first"), b * block)
 
     blocks = F.sequence(F.floor(F.col("first") / block).cast("long"), F.floor((F.col("last") - 1) / block).cast("long"))
     extra = F.aggregate(F.filter(blocks, reached), F.lit(0).cast("long"), lambda sum_, b: sum_ + shared(b))
     return placed.select(
-        "doc_id", "h", "size", "source_size", "target", "rounds",
+        "doc_id", "h", "size", "source_size", "target", "rounds", "first", "n", "step", "start", "extra",
         (F.col("rounds") * F.col("size") + F.when((F.col("size") > 0) & (F.col("extra") > 0), extra).otherwise(0)).cast("long").alias("taken"),
     )
 
@@ -175,21 +178,23 @@ def mix(docs: DataFrame) -> DataFrame:
     return planned(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: documents repeated, and cut after a word, as often and as long as their taken words say.
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix itself: documents repeated in whole, and once more with the words of the selected blocks.
 
-    A document that takes all its words k times comes k times; what it takes beyond that comes
-    once more, from its beginning.  Documents that take nothing go.  n_chars follows the text.
+    A document comes once for each whole round, and once more with the words that the walk's extra
+    blocks share with it, wherever in the text they stand, in their order and with the white space
+    before each.  Documents that take nothing go.  n_chars follows the text.
     """
-    plan = planned(docs).where("taken > 0").select(F.col("doc_id").alias("plan_id"), F.col("h").alias("plan_h"), "size", "taken").dropDuplicates(["plan_id", "plan_h"])
+    plan = planned(docs, block).where("taken > 0").withColumnRenamed("doc_id", "plan_id").withColumnRenamed("h", "plan_h").drop("source_size", "target").dropDuplicates(["plan_id", "plan_h"])
     own = docs.select(*DOCUMENT_COLUMNS).withColumn("plan_h", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     found = own.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("plan_id")) & (own.plan_h == plan.plan_h))
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*+[^\x20\x09-\x0D]++)"), F.lit(1)), F.lit(1), words), "")
-    text = F.when(words == F.col("size"), F.col("text")).otherwise(part)
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    more = F.col("taken") - F.col("rounds") * F.col("size")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rounds") + F.when(more > 0, 1).otherwise(0))))
+    words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*+[^\x20\x09-\x0D]++)"), F.lit(1))
+    part = F.array_join(F.filter(words, lambda _, i: reached(F.floor((F.col("first") + i) / block).cast("long"))), "")
+    part = F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")
+    text = F.when((F.col("copy") <= F.col("rounds")) | (more == F.col("size")), F.col("text")).otherwise(part)
+    return found.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

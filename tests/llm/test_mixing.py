@@ -84,3 +84,16 @@ def test_mixed_documents(spark, odd_docs, no_docs):
         assert r.n_chars == len(r.text)
     assert {k for k in shown} == {k for k in taken}
     assert all(shown[k] == taken[k] for k in taken if k not in (5, None))  # repeated rows share a plan
+
+
+def test_the_words_of_selected_blocks_come(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(9999)), "en", "a", 1), (2, "x " * 10_000, "en", "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan = {r.doc_id: r for r in mixing.planned(df).collect()}
+    got = [r.text for r in mixing.mixed_documents(df).collect() if r.doc_id == 1]
+    assert len(got) == 1 and plan[1].rounds == 0  # weights 1 and 2: about two thirds of the first
+    at = [int(w[1:]) for w in got[0].split(" ")]
+    assert len(at) == plan[1].taken < 9999 and at == sorted(at)
+    n = -(-9999 // mixing.BLOCK)
+    walk = {b for b in range(n) if (b * plan[1].step + plan[1].start) % n < plan[1].extra}
+    assert at == [i for i in range(9999) if i // mixing.BLOCK in walk] and max(at) > plan[1].taken
