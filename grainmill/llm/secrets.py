@@ -1,6 +1,8 @@
 """Secret scans: fixed patterns, and a randomness test battery with false-discovery control.
 
-Every maximal run of token characters (20 or more) is a candidate.  Its encoding is
+Maximal runs of token characters, less the base patterns' spans, are cut at ``=``; pieces of
+20 or more are candidates.  A piece that no one alphabet holds is cut at ``-`` and ``_``, at
+``+`` and ``/``, and at all of these, and all these pieces are candidates.  An encoding is
 inferred as the smallest alphabet that holds all its characters.  Three tests ask
 whether its symbols look drawn uniformly from that alphabet: chi-squared uniformity,
 Wald-Wolfowitz runs about the middle of the alphabet, and lag-one serial correlation;
@@ -22,6 +24,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ KINDS = ("assign", "access", "hex", "random")
 FDR, UNIFORM_LEVEL = 1e-6, 1e-3
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Pieces of a run; of one that no alphabet holds, by each pair of signs and by all.
+PIECES = tuple(re.compile(rf"[A-Za-z0-9{signs}]{{20,}}") for signs in ("+/_-", "+/", "_-", ""))
 #: The base patterns.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -140,6 +145,37 @@ def discoveries(tokens: list[str], fdr: float = FDR) -> list[bool]:
     return [b >= ordered[kept - 1] if kept else False for b in weighed]
 
 
+def candidates(text: str, runs: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pieces of runs outside the spans, of 20 characters or more, that are tested."""
+    found: dict[tuple[int, int], None] = {}
+    spans, at = sorted(spans), 0
+
+    def cut(a: int, b: int, signs: re.Pattern) -> Iterator[tuple[int, int]]:
+        for m in signs.finditer(text, a, b):
+            c, d = m.span()
+            while d - c >= 20 and text[c] in "+/_-":
+                c += 1
+            while d - c >= 20 and text[d - 1] in "+/_-":
+                d -= 1
+            if d - c >= 20:
+                yield c, d
+
+    for a, b in runs:
+        while at < len(spans) and spans[at][1] <= a:
+            at += 1
+        free = []
+        for s, e in takewhile(lambda x: x[0] < b, islice(spans, at, None)):
+            free.append((a, s))
+            a = max(a, e)
+        for x in [*free, (a, b)]:
+            for c, d in cut(*x, PIECES[0]) if x[1] - x[0] >= 20 else ():
+                if encoding(text[c:d]) is None:
+                    found.update(dict.fromkeys(piece for signs in PIECES[1:] for piece in cut(c, d, signs)))
+                else:
+                    found[c, d] = None
+    return list(found)
+
+
 def scan(text: str | None, fdr: float = FDR) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, by start and then kind as listed."""
     if not text:
@@ -149,24 +185,18 @@ def scan(text: str | None, fdr: float = FDR) -> list[tuple[str, int, int]]:
         low = text.lower()
         if "passw" in low or "secret" in low or "token" in low or "api" in low or not text.isascii():
             spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
-    rest: list[tuple[int, int]] = []
-    for run in CANDIDATE.finditer(text):  # hexadecimal and access spans lie within such runs
-        a, b = run.span()
-        base = len(spans)
-        if "AKIA" in run[0]:
-            spans += [("access", a + m.start(), a + m.end()) for m in ACCESS.finditer(run[0]) if m.end() - m.start() >= 20]
-        spans += [("hex", a + m.start(), a + m.end()) for m in HEX.finditer(run[0])]
-        if len(spans) == base:
-            while b - a >= 20 and text[a] in "=+/_-":
-                a += 1
-            while b - a >= 20 and text[b - 1] in "=+/_-":
-                b -= 1
-            if b - a >= 20:
-                rest.append((a, b))
-    if rest:
-        free = [x for x in rest if not any(s < x[1] and x[0] < e for _, s, e in spans)]
-        found = discoveries([text[a:b] for a, b in free], fdr)
-        spans += [("random", a, b) for (a, b), random in zip(free, found, strict=True) if random]
+    runs = [run.span() for run in CANDIDATE.finditer(text)]
+    for a, b in runs:  # hexadecimal and access spans lie within such runs
+        if "AKIA" in text[a:b]:
+            spans += [("access", a + m.start(), a + m.end()) for m in ACCESS.finditer(text[a:b]) if m.end() - m.start() >= 20]
+        spans += [("hex", a + m.start(), a + m.end()) for m in HEX.finditer(text[a:b])]
+    if rest := candidates(text, runs, [(s, e) for _, s, e in spans]):
+        random = [x for x, found in zip(rest, discoveries([text[a:b] for a, b in rest], fdr), strict=True) if found]
+        end = -1
+        for a, b in sorted(random, key=lambda x: (x[0], -x[1])):  # those within others go
+            if b > end:
+                spans.append(("random", a, b))
+                end = b
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
