@@ -171,7 +171,7 @@ def vectors_of(found: list[Block]) -> np.ndarray:
             row[TAGS + slot(b.path[-1], TAGS)] = 1
         for mark in b.marks:
             row[2 * TAGS + slot(mark, MARKS)] = 1
-        words = WORD.findall(b.text, 0, 400)[:24]
+        words = WORD.findall(b.text)
         for word in words:
             row[2 * TAGS + MARKS + slot(word.lower(), WORDS)] += 1 / len(words)
         n = len(b.text)

@@ -195,3 +195,10 @@ def test_slopes():
 )
 def test_blocks(page, texts):
     assert [b.text for b in blocks.blocks_of(page)] == texts
+
+
+def test_all_words_of_a_block_are_hashed():
+    long = "word " * 200
+    one, other = blocks.vectors_of([blocks.Block(long + end, ("p",), (), 0.0) for end in ("alpha beta gamma", "xylem delta stone")])
+    words = slice(2 * blocks.TAGS + blocks.MARKS, -blocks.MEASURES)
+    assert not np.allclose(one[words], other[words]) and one[words].sum() == pytest.approx(1, abs=1e-4)
