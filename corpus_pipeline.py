@@ -5,14 +5,12 @@ the shared folder and read again as the next one's docs.  All but the last retur
 columns of documents.
 
 1. quality: documents that the compression classifier rejects go.
-2. near_duplicates: of each component of near-equal SimHashes, the document with the
-   smallest doc_id stays.
+2. near_duplicates: of each component of texts whose sets of five-word shingles are similar
+   by 0.8 or more (Jaccard, compared exactly), the document with the smallest doc_id stays.
 3. secrets: every span that the scan finds is replaced by a mark; no document goes.
-4. mix: documents are repeated and cut so that sources meet their target weights.
+4. mix: documents are repeated, and the words of selected blocks taken, so that sources meet
+   their target weights.
 5. tokens: every row is encoded and decoded again.
-
-Near duplicates are texts whose shingles of five words are similar by 0.8 or more, as SimHash
-fingerprints tell; all links of at most three differing bits are found.
 """
 
 from __future__ import annotations

@@ -145,3 +145,16 @@ def test_first_keys_of_similar_sets_meet():
         if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
             for common in (np.empty(0, np.uint64), np.arange(0, 200, dtype=np.uint64)):
                 assert len(np.intersect1d(simhash.first_keys(a, 0.8, common), simhash.first_keys(b, 0.8, common)))
+
+
+def test_texts_below_the_similarity_stay(spark):
+    draw = random.Random(9)
+    rows = []
+    for i in range(0, 60, 2):
+        base = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+        other = list(base)
+        for at in range(10, 300, 30):  # ten edits change 50 of 296 shingles: a similarity of 0.71
+            other[at] += "x"
+        rows += [(i, " ".join(base), "en", "a", 1), (i + 1, " ".join(other), "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert simhash.keep_one(df).count() == 60
