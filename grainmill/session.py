@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Names are case-sensitive, and numbers in ORDER BY and GROUP BY are constants, not positions.
@@ -24,3 +28,26 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for key, value in DIALECT.items():
         found.conf.set(key, value)
     return found
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, qualified as Spark reads it.
+
+    Where it is unset, a session on a local master gets one of its own that goes at exit; on a cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="grainmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return qualified(spark, found.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority that Hadoop gives it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return made.replace("file:/", "file:///", 1) if made.startswith("file:/") and not made.startswith("file://") else made
