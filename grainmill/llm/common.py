@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.session import shared_folder
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Columns of the documents table, in order.
@@ -26,20 +26,9 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}:{path}" if path else ROOT
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a local one that goes at exit."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    own = tempfile.TemporaryDirectory(prefix="grainmill-")
-    atexit.register(own.cleanup)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own.name}")
-    return f"file://{own.name}"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/grainmill/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/grainmill/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -94,71 +83,118 @@ def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+#: Rows of a key, as a part of all, from which they are spread over tasks, and the fewest such rows.
+HOT_SHARE, HOT_LEAST = 1 / 4096, 64
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, rows: int, how: str = "inner", by: str | None = None) -> DataFrame:
+    """Join of many rows of a key with its one row.  Keys of more than a 4096th of ``rows`` (the number of rows of
+    ``many``) are spread by salts: at most 4096 of them, so that list is broadcast."""
+    bar = max(HOT_LEAST, int(rows * HOT_SHARE) + 1)
+    hot = many.groupBy(F.col(key).alias("hot_key")).count().where(F.col("count") > bar).select("hot_key", F.ceil(F.col("count") / bar).cast("int").alias("salts"))
+    others = [by] if by else [c for c in many.columns if c != key]
+    own = many.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    own = own.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("salts")).cast("int"), F.lit(0))).drop("hot_key", "salts")
+    other = one.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("hot_key", "salts")
+    return own.join(other, [key, "salt"], how).drop("salt")
+
+
 class Ranges:
-    """Parts of an integer key's range, of about equal weight and the same in every run.
+    """Parts of the order of (key, tie), both long, of about equal weight and the same in every run.  Rows without
+    a key come first.
 
-    Exact weights of equal-width bins, refined once where a bin outweighs a part, decide
-    the cuts: neither sampling nor task order moves them.  The driver gets at most
-    ``2 * bins`` rows.  Looking up a key's part takes one or two array accesses.
+    Exact weights of equal-width bins decide the cuts: neither sampling nor task order moves them.  A bin that
+    outweighs a part is cut into finer bins again and again; one that holds a single key (or no key) is cut by
+    ``tie``.  So a part weighs less than twice the goal, unless rows with equal key and tie alone weigh more.  The
+    driver gets about ``4 * parts`` rows a level (``bins`` at least).  Beyond ``most`` parts they grow in weight.
     """
 
-    def __init__(self, df: DataFrame, key: str, weight: Column, part_weight: float, least: int = 1, bins: int = 16384) -> None:
-        self.key = key
-        low, high, total = df.agg(F.min(key), F.max(key), F.sum(weight.cast("double"))).first()
-        self.parts = 1
-        self.tables: list[tuple[int, int, list[int]]] = []
-        if low is None or low == high or not total:
+    def __init__(self, df: DataFrame, key: str, tie: str, weight: str, part_weight: float, least: int = 1, bins: int = 16384, most: int = 1 << 17) -> None:
+        self.key, self.tie, self.levels, self.parts = key, tie, [], 1
+        low, high, total = df.agg(F.min(key), F.max(key), F.sum(F.col(weight).cast("double"))).first()
+        if not total:
             return
-        goal = total / max(least, -(-total // part_weight))
-        width = -(-(high + 1 - low) // bins)
-        top = self._weights(df, weight, self._bin(low, width), (F.col(key) >= low))
-        heavy = sorted((b for b, w in top.items() if w > goal and width > 1), key=lambda b: -top[b])[:64]
-        inner = -(-width // max(2, bins // max(1, len(heavy))))
-        below: dict[int, dict[int, float]] = {b: {} for b in heavy}
-        if heavy:
-            place = F.lit(None).cast("long")
-            for i, b in enumerate(heavy):
-                start = low + b * width
-                inside = (F.col(key) >= start) & (F.col(key) < start + width)
-                place = F.when(inside, self._bin(start, inner) + i * (width // inner + 1)).otherwise(place)
-            for at, w in self._weights(df, weight, place, place.isNotNull()).items():
-                i, b = divmod(at, width // inner + 1)
-                below[heavy[i]][b] = w
+        n = min(most, max(least, -(-total // part_weight)))
+        goal, bins = total / n, max(bins, int(4 * n))
+        width = max(1, -(-(high + 1 - low) // bins)) if low is not None else 1
+        count = 1 + (-(-(high + 1 - low) // width) if low is not None else 0)
+        nodes = [(False, low or 0, width, count)]  # of each level: by tie, least value, width and number of bins
+        rows = df.select(F.col(key), F.col(tie), F.col(weight).cast("double").alias("w"))
+        tree = self.levels = []
+        while nodes:
+            offsets = [0]
+            for node in nodes:
+                offsets.append(offsets[-1] + node[3])
+            level = {"nodes": nodes, "offsets": offsets, "below": {}, "entries": [0] * offsets[-1]}
+            tree.append(level)
+            found = rows.select(self._found(0, F.lit(0), len(tree) - 1).alias("at"), "w").where("at is not null").groupBy("at").agg(F.sum("w"))
+            level["weights"] = dict(map(tuple, found.collect()))
+            heavy = []
+            for i, (by_tie, start, wide, _) in enumerate(nodes):
+                for at in range(offsets[i], offsets[i + 1]):
+                    if level["weights"].get(at, 0.0) > goal and (wide > 1 or not by_tie):
+                        one = at - offsets[i] - (len(tree) == 1)
+                        heavy.append((at, by_tie, start + one * wide, wide) if by_tie or wide > 1 and one >= 0 else (at, True, 0, 1 << 63))
+            finer, nodes = max(64, bins // max(1, len(heavy))), []
+            for at, by_tie, start, wide in heavy:
+                level["below"][at] = len(nodes)
+                inner = -(-wide // finer)
+                nodes.append((by_tie, start, inner, -(-wide // inner)))
+            for at, child in level["below"].items():
+                level["entries"][at] = -1 - child
+        self._number(tree, goal)
+
+    def _number(self, tree: list[dict], goal: float) -> None:
         filled, part = 0.0, 0
 
-        def place_of(w: float) -> int:
+        def visit(depth: int, node: int) -> None:
             nonlocal filled, part
-            if filled >= goal:
-                part, filled = part + 1, 0.0
-            filled += w
-            return part
-
-        first: list[int] = []
-        for b in range(-(-(high + 1 - low) // width)):
-            if b in below:
-                first.append(-1 - len(self.tables))
-                self.tables.append((low + b * width, inner, [place_of(below[b].get(i, 0.0)) for i in range(-(-width // inner))]))
-            else:
-                first.append(place_of(top.get(b, 0.0)))
-        self.tables.append((low, width, first))
+            level = tree[depth]
+            for at in range(level["offsets"][node], level["offsets"][node + 1]):
+                if at in level["below"]:
+                    visit(depth + 1, level["below"][at])
+                    continue
+                w = level["weights"].get(at, 0.0)
+                if w and filled >= goal:
+                    part, filled = part + 1, 0.0
+                filled += w
+                level["entries"][at] = part
+
+        visit(0, 0)
         self.parts = part + 1
 
-    def _bin(self, low: int, width: int) -> Column:
-        return F.expr(f"cast((cast(`{self.key}` as decimal(20,0)) - {low}) div {width} as bigint)")
-
-    def _weights(self, df: DataFrame, weight: Column, at: Column, kept: Column) -> dict[int, float]:
-        found = df.where(kept).select(at.alias("b"), weight.cast("double").alias("w")).groupBy("b").agg(F.sum("w")).collect()
-        return {r[0]: r[1] for r in found}
-
-    def part(self) -> Column:
-        """The key's part; rows without a key are in part 0."""
-        if not self.tables:
-            return F.lit(0)
-        columns = [F.element_at(constants(t), (self._bin(low, width) + 1).cast("int")) for low, width, t in self.tables]
-        found = columns[-1]
-        for i, column in enumerate(columns[:-1]):
-            found = F.when(columns[-1] == -1 - i, column).otherwise(found)
-        return F.coalesce(found, F.lit(0))
+    def _place(self, depth: int, node: Column) -> Column:
+        """Number of the bin of a row in a node of that depth."""
+        key, nodes = F.col(self.key), self.levels[depth]["nodes"]
+        if depth == 0:
+            _, low, width, _ = nodes[0]
+            found = F.expr(f"cast((cast(`{self.key}` as decimal(20,0)) - {low}) div {width} as int)") + 1
+            return F.when(key.isNull(), F.lit(0)).otherwise(found)
+
+        def of(values: list[int], kind: str = "bigint") -> Column:
+            return F.get(constants(values, kind), node)
+
+        value = F.when(of([int(n[0]) for n in nodes], "int") == 1, F.shiftright(self.tie, 1) + F.lit(1 << 62)).otherwise(key)
+        inside = F.call_function("div", value - of([n[1] for n in nodes]), of([n[2] for n in nodes]))
+        return (of(self.levels[depth]["offsets"][:-1]) + inside).cast("int")
+
+    def _found(self, depth: int, node: Column, to: int | None = None) -> Column:
+        """The part of a row in a node, or its bin at depth ``to`` (null where it ends above)."""
+        at = self._place(depth, node)
+        if depth == to:
+            return at
+
+        def below(entry: Column) -> Column:
+            found = F.when(entry < 0, self._found(depth + 1, -1 - entry, to)) if depth + 1 < len(self.levels) else F.when(F.lit(False), 0)
+            return found if to is not None else found.otherwise(entry)
+
+        # bound as a variable: written out, the expression would double with each level
+        return F.get(F.transform(F.array(F.get(constants(self.levels[depth]["entries"]), at)), below), F.lit(0))
+
+    def with_part(self, df: DataFrame) -> DataFrame:
+        """df with the column part."""
+        return df.withColumn("part", self._found(0, F.lit(0)) if self.levels else F.lit(0))
 
 
 def constants(values: list[int], kind: str = "int") -> Column:

@@ -10,8 +10,10 @@ The next document, in descending order of doc_id, comes from one range-sorted sh
 the head of each part of the range is also sent to the part before it.
 
 Defined cases: null text counts as empty (its digest has all buckets in the lowest
-quartile); rows with equal doc_id follow each other by hash of their text; rows without
-doc_id come last; a single row is its own next document.
+quartile); texts of any length are counted piece by piece; rows with equal doc_id follow each
+other by hash of their text, greatest first, and repeated rows count each; rows without doc_id
+come last; a single row is its own next document; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import Ranges, constants, deal, map_rows
+from grainmill.llm.common import Ranges, constants, cut, deal, map_rows
 
 QUERY = "op2_quartile_digest"
 ORACLE_SQL = None
@@ -32,6 +34,8 @@ ORACLE_SQL = None
 BUCKETS = 256
 #: Difference of unrelated texts, and what a step of length (a tenth) and all steps may add.
 UNRELATED, LENGTH_STEP, LENGTH_MOST = 480, 2, 48
+#: Bytes of a text that are counted at a time.
+PIECE = 1 << 16
 #: UTF-8 bytes of text in a part of the range.
 PART_BYTES = 64 << 20
 
@@ -44,13 +48,16 @@ def digest(text: str) -> str:
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     counts = np.zeros(BUCKETS, np.int64)
     n = len(data)
-    if n >= 3:
-        a, b = MIX[0][data], MIX[1][data]
-        counts += np.bincount(a[:-2] ^ b[1:-1] ^ MIX[2][data[2:]], minlength=BUCKETS)
-        if n >= 4:
-            d = MIX[3][data[3:]]
-            counts += np.bincount(a[:-3] ^ b[1:-2] ^ d, minlength=BUCKETS)
-            counts += np.bincount(a[:-3] ^ MIX[4][data[2:-1]] ^ d, minlength=BUCKETS)
+    for at in range(0, max(0, n - 2), PIECE):
+        part = data[at : at + PIECE + 3]
+        a, b, c = MIX[0][part], MIX[1][part], MIX[2][part]
+        m = min(PIECE, len(part) - 2)  # triplets of neighbours that start in this piece
+        counts += np.bincount(a[:m] ^ b[1 : m + 1] ^ c[2 : m + 2], minlength=BUCKETS)
+        m = min(PIECE, len(part) - 3)  # and those with a gap
+        if m > 0:
+            d = MIX[3][part[3 : m + 3]]
+            counts += np.bincount(a[:m] ^ b[1 : m + 1] ^ d, minlength=BUCKETS)
+            counts += np.bincount(a[:m] ^ MIX[4][part[2 : m + 2]] ^ d, minlength=BUCKETS)
     quarter = np.sort(counts)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
     codes = (counts[:, None] > quarter).sum(1).astype(np.uint8).reshape(-1, 4)
     packed = codes[:, 0] << 6 | codes[:, 1] << 4 | codes[:, 2] << 2 | codes[:, 3]
@@ -80,9 +87,12 @@ def with_next(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     in its partition; tail marks the row that only ends a part."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = Ranges(own, "doc_id", F.octet_length("text") + 64, part_bytes, least=2 * spark.sparkContext.defaultParallelism)
-    own = own.withColumn("part", ranges.part()).withColumn("h", F.xxhash64("text"))
-    heads = {r[0]: r[1] for r in own.groupBy("part").agg(F.max(F.struct("doc_id", "h"))).collect()}
+    own = own.withColumn("h", F.xxhash64("text"))
+    small = cut(own.select("doc_id", "h", (F.octet_length("text") + 64).alias("w")), "weights")
+    ranges = Ranges(small, "doc_id", "h", "w", part_bytes, least=2 * spark.sparkContext.defaultParallelism)
+    own = ranges.with_part(own)
+    # the head of a part is the first of its rows in the order below; null ids are the least of a struct
+    heads = {r[0]: r[1] for r in ranges.with_part(small).groupBy("part").agg(F.max(F.struct("doc_id", "h"))).collect()}
     filled = sorted(heads)
     target = [None] * ranges.parts
     for p, above in zip(filled, filled[1:] + filled[:1], strict=True):
@@ -90,13 +100,13 @@ def with_next(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     at = F.col("part") + 1
     head_id = F.element_at(constants([heads[p][0] if p in heads else None for p in range(ranges.parts)], "bigint"), at)
     head_h = F.element_at(constants([heads[p][1] if p in heads else None for p in range(ranges.parts)], "bigint"), at)
-    is_head = F.col("doc_id").eqNullSafe(head_id) & (F.col("h") == head_h)
+    is_head = F.col("doc_id").eqNullSafe(head_id) & F.col("h").eqNullSafe(head_h)
     stay = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
     also = F.struct(F.element_at(constants(target), at).alias("part"), F.lit(True).alias("tail"))
     both = own.select("doc_id", "text", "h", F.explode(F.when(is_head, F.array(stay, also)).otherwise(F.array(stay))).alias("to"))
     return (
         deal(both.select("to.part", "to.tail", "doc_id", "h", "text"), "part", ranges.parts)
-        .sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "h")
+        .sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), F.desc("h"))
         .select("part", "tail", "doc_id", "text")
     )
 

@@ -8,22 +8,28 @@ codewords near a segment, the other side the nearest one only.
 
 Pigeonhole over at most three differing bits: either some segment agrees wholly and another
 differs in one bit at most, or each segment differs in exactly one.  So keys are (whole
-segment i, codeword of segment j) for i != j, and the codewords of two segments together
-(of all three where there are very many fingerprints).  Keys meet in one shuffle; pairs are
-verified run by run over distinct fingerprints, and each task keeps only links that join
-what it has not joined yet, so that a group of near copies yields a tree rather than its
-pairs.  Trees grow into components by alternating large and small stars, written to the
-shared folder after each round.
-
-Near copies by shingle similarity differ in more bits than segments can tell, so the pipeline's
-stage joins sets of shingles exactly.  In one order of all shingles, two sets of a similarity of
-``t`` share one of their first n - ceil(t n) + 1 shingles; these are the keys.  Each text is
-first compared with the first text of its keys; texts that this left in different components
-are paired key by key, and every link is decided by the two whole sets.
+segment i, codeword of segment j) for i != j, and the codewords of the first two segments
+together.  Keys meet in one shuffle; pairs are verified run by run over distinct
+fingerprints, and each task keeps only links that join what it has not joined yet, so that a
+group of near copies yields a tree rather than its pairs.  A run is read as a stream: only
+its rows by nearest codeword are held, and where a key has very many of these they are dealt
+over blocks, each of which meets all others of the key.  Trees grow into components by
+alternating large and small stars until nothing changes, written to the shared folder after
+each round; nodes with many edges are spread over tasks by salts.
+
+The pipeline's stage links texts by the similarity of their sets of shingles.  Texts whose
+fingerprints the Golay keys link are its first candidates.  Three bits lose pairs that are
+less alike, so an exact path finds the rest: in one order of all shingles, two sets of a
+similarity of ``t`` share one of their first n - ceil(t n) + 1 shingles; texts are compared
+with the first text of these keys, and what is in different components after that is paired
+key by key.  Every link, also those of the fingerprints, is decided by the two whole sets.
 
 Defined cases: null text counts as empty; texts without words have fingerprint 0 and link
-like any other; rows with equal doc_id each get their fingerprint; a row without doc_id
-never lends its id to a component, and a component of such rows only has id null.
+like any other; texts may have any length (hashed piece by piece); rows with equal doc_id,
+and repeated rows, each get their fingerprint (the stage keeps one of them); a row without
+doc_id never lends its id to a component, and a component of such rows only has id null; of
+tied ids the text with the smaller hash leads; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import DOCUMENT_COLUMNS, cut, map_rows, prepare
+from grainmill.llm.common import DOCUMENT_COLUMNS, cut, map_rows, prepare, spread_join
 
 QUERY = "op9_simhash_golay"
 ORACLE_SQL = None
@@ -46,12 +52,10 @@ ORACLE_SQL = None
 #: Words of a shingle, differing bits that link, hash seed.
 WORDS, BITS, SEED = 3, 3, 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-#: Seeds of the fingerprints of word sets, and the bits in which near copies' may differ.
-WORD_SEEDS, WORD_BITS = (42, 43), 8
-#: Distinct fingerprints from which the last kind of key takes all three segments.
-MANY = 20_000_000
 #: Fingerprints that a task remembers to have joined; then it gives their links and starts afresh.
 JOINED = 500_000
+#: Rows of a key that one task holds: keys of more are dealt over blocks.
+HOLD = 1 << 16
 #: One text of so many tells which shingles are common, and how many of those at most go last in the order.
 SAMPLE, COMMON = 64, 100_000
 
@@ -73,32 +77,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def word_print(text: str | None, seed: int) -> int:
-    """64-bit SimHash over the set of a text's words."""
-    own = sorted(set((text or "").encode("utf-8", "replace").lower().split()))
-    if not own:
-        return 0
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(own), 1 << 14):
-        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in own[at : at + (1 << 14)]], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<u8")[0])
-
-
 def signed(fp: int) -> int:
     """The same 64 bits as a signed number."""
     return fp - (1 << 64) if fp >> 63 else fp
 
 
-def bits_of(similarity: float, words: int, deviations: float = 2.5) -> int:
-    """Bits in which three fingerprints (one of shingles, two of words) of texts of such shingle similarity
-    (Jaccard) differ in all, but for chance beyond so many standard deviations: a bit differs with the
-    angle between two vectors over pi, and a shingle stays where all its words do."""
-    kept = 2 * similarity / (1 + similarity)
-    shares = np.arccos([kept, kept ** (1 / words), kept ** (1 / words)]) / np.pi
-    return int(64 * shares.sum() + deviations * np.sqrt(64 * (shares * (1 - shares)).sum()))
-
-
 class Golay:
     """Decoding tables of the code with generator x^11+x^9+x^7+x^6+x^5+x+1, made by rule."""
 
@@ -144,12 +127,8 @@ class Golay:
 _GOLAY: list[Golay] = []
 
 
-def keys_of(prints: np.ndarray, wide: bool, loose: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(keys, positions of their fingerprints, whether they carry all near codewords) of unsigned fingerprints.
-
-    ``loose`` keys are the codewords of each two segments: they meet for certain where both differ
-    in one bit at most, and often where they differ in two or three.
-    """
+def keys_of(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, positions of their fingerprints, whether they carry all near codewords) of unsigned fingerprints."""
     if not _GOLAY:
         _GOLAY.append(Golay())
     parts = [(prints >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
@@ -157,34 +136,21 @@ def keys_of(prints: np.ndarray, wide: bool, loose: bool) -> Iterator[tuple[np.nd
     own = np.arange(len(prints))
     # six columns of candidates; those that do not count are -1
     six = [np.c_[one, np.where(far[:, None], five, -1)] for one, five, far in near]
-
-    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where((a[:, :, None] >= 0) & (b[:, None, :] >= 0), a[:, :, None] << 12 | b[:, None, :], -1).reshape(len(prints), -1)
-
-    together = [(0, 1), (0, 2), (1, 2)] if loose else [(0, 1)]
-    if not loose:
-        for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
-            head = (kind << 34 | parts[i] << 12)[:, None]
-            yield (head | near[j][0][:, None]).ravel(), own, False
-            kept = six[j] >= 0
-            yield (head | six[j])[kept], np.repeat(own, kept.sum(1)), True
-    for kind, (i, j) in enumerate(together, 6):
-        last, all_ = near[i][0] << 12 | near[j][0], both(six[i], six[j])
-        if wide and not loose:
-            last, all_ = last << 12 | near[2][0], both(all_, six[2])
-        kept = all_ >= 0
-        yield last | kind << 37, own, False
-        yield (all_ | kind << 37)[kept], np.repeat(own, kept.sum(1)), True
+    for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
+        head = (kind << 34 | parts[i] << 12)[:, None]
+        yield (head | near[j][0][:, None]).ravel(), own, False
+        kept = six[j] >= 0
+        yield (head | six[j])[kept], np.repeat(own, kept.sum(1)), True
+    a, b = six[0][:, :, None], six[1][:, None, :]
+    both = np.where((a >= 0) & (b >= 0), a << 12 | b, -1).reshape(len(prints), -1)
+    kept = both >= 0
+    yield near[0][0] << 12 | near[1][0] | 6 << 37, own, False
+    yield (both | 6 << 37)[kept], np.repeat(own, kept.sum(1)), True
 
 
 class Joined:
     """Union-find over fingerprints; says which links join anything new."""
 
-    def stars(self) -> list[tuple[int, int]]:
-        """All that was joined, each fingerprint linked to the smallest one that it reaches: tasks that
-        meet the same group mostly give the same links."""
-        return [(x, self.root(x)) for x in list(self.above)]
-
     def __init__(self) -> None:
         self.above: dict[int, int] = {}
 
@@ -205,54 +171,80 @@ class Joined:
         self.above[max(a, b)] = min(a, b)
         return True
 
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join pairs; many pairs of few groups cost one look for each fingerprint."""
+        both, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        roots = np.array([self.root(x) for x in both.tolist()], np.uint64)[at]
+        x, y = roots[: len(a)], roots[len(a) :]
+        apart = x != y
+        for u, v in set(zip(x[apart].tolist(), y[apart].tolist(), strict=True)):
+            self.new(u, v)
+
+    def stars(self) -> list[tuple[int, int]]:
+        """All that was joined, each fingerprint linked to the smallest one that it reaches: tasks that
+        meet the same group mostly give the same links."""
+        return [(x, self.root(x)) for x in list(self.above)]
+
+
+def meet(near: np.ndarray, all_: np.ndarray, bits: int, known: Joined) -> None:
+    """Join the fingerprints of one run, some against some at a time."""
+    for a in range(0, len(near), 256):
+        x = near[a : a + 256]
+        for b in range(0, len(all_), 4096):
+            y = all_[b : b + 4096]
+            apart = np.bitwise_count(x[:, None] ^ y[None, :])
+            i, j = np.nonzero((apart <= bits) & (apart > 0))
+            if len(i):
+                known.join(x[i], y[j])
+
+
+LINK_KEYS = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("all", pa.bool_()), ("fp", pa.int64())])
+
+
+def links(prints: DataFrame, bits: int = BITS, hold: int = HOLD, sample: int = SAMPLE) -> DataFrame:
+    """Links (a, b) of the distinct fingerprints fp that span the same components as all pairs that differ in
+    at most ``bits`` bits (three at most).
 
-def tree(prints: np.ndarray, nodes: np.ndarray, more: np.ndarray, bits: int, total: int, known: Joined) -> None:
-    """Join links that span the links among the rows of one run: from a row to all rows near it that
-    nothing has reached yet, and on from those.  Rows that are joined already cost one look each."""
-    rows = list(dict.fromkeys(zip(prints.tolist(), nodes.tolist(), more.tolist(), strict=True)))
-    if len({known.root(n) for _, n, _ in rows}) < 2:
-        return
-    left = np.array(rows, np.uint64)
-    reached: list[np.ndarray] = []
-    while len(left) or reached:
-        if not reached:
-            reached.append(left[:1])
-            left = left[1:]
-        for row in reached.pop():
-            apart = np.bitwise_count(left ^ row)
-            near = (apart[:, 0] <= bits) & (apart.sum(1) <= total)
-            if near.any():
-                for other in left[near, 1].tolist():
-                    known.new(int(row[1]), other)
-                reached.append(left[near])
-                left = left[~near]
-
-
-def links(prints: DataFrame, bits: int = BITS, total: int = 3 * BITS) -> DataFrame:
-    """Links (a, b) of nodes that span the same components as all links.
-
-    prints (fp, node, more: long): rows link if their fingerprints fp differ in at most ``bits`` bits and
-    all three (node and more are fingerprints as well) in at most ``total``.  Up to three bits no link
-    is lost; keys for more bits are loose.
+    One fingerprint of ``sample`` tells which keys have more than ``hold`` rows, of which a task would hold those by nearest
+    codeword: they are dealt over blocks.  A key that the sample misses is merely held longer.
     """
     spark = prints.sparkSession
     prepare(spark)
-    wide, loose = prints.count() >= MANY, bits > BITS
-    key_schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("more", pa.int64()), ("all", pa.bool_())])
-    step = 512 if wide else 2048
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            for at in range(0, len(fps), 2048):
+                for keys, _, side in keys_of(fps[at : at + 2048]):
+                    if not side:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+
+    some = prints.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0).select("fp").mapInArrow(sampled, "key long")
+    often = some.groupBy("key").count().where(F.col("count") * sample > hold).collect()
+    hot = dict(sorted((r[0], -(-r[1] * sample // hold)) for r in often))
+    hot_keys, hot_blocks = (spark.sparkContext.broadcast(np.array(list(x), np.int64)) for x in (hot.keys(), hot.values()))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, nodes, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for at in range(0, len(fps), step):
-                own = fps[at : at + step].view(np.uint64)
-                for keys, rows, side in keys_of(own, wide, loose):
-                    columns = [keys, fps[at + rows], nodes[at + rows], more[at + rows], np.full(len(keys), side)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=key_schema)
+            fps = batch.column(0).to_numpy()
+            for at in range(0, len(fps), 2048):
+                own = fps[at : at + 2048]
+                for keys, rows, side in keys_of(own.view(np.uint64)):
+                    blocks = np.zeros(len(keys), np.int64)
+                    if len(hot_keys.value):
+                        place = np.minimum(np.searchsorted(hot_keys.value, keys), len(hot_keys.value) - 1)
+                        many = np.where(hot_keys.value[place] == keys, hot_blocks.value[place], 1)
+                        if side:  # to every block
+                            blocks = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                            keys, rows = np.repeat(keys, many), np.repeat(rows, many)
+                        else:
+                            blocks = (own[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many
+                    columns = [keys, blocks.astype(np.int32), np.full(len(keys), side), own[rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=LINK_KEYS)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Joined()
-        rest = [np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 3, np.empty(0, bool)]
+        rest = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool), np.empty(0, np.uint64)]
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def given() -> Iterator[pa.RecordBatch]:
@@ -262,9 +254,7 @@ def links(prints: DataFrame, bits: int = BITS, total: int = 3 * BITS) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
             known.above.clear()
 
-        def of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, more: np.ndarray, all_: np.ndarray) -> None:
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
+        def of(starts: np.ndarray, sizes: np.ndarray, all_: np.ndarray, fps: np.ndarray) -> None:
             n_all = np.add.reduceat(all_.astype(np.int64), starts)
             n_near = sizes - n_all
             some = (n_all > 0) & (n_near > 0) & (sizes > 2)
@@ -275,50 +265,53 @@ def links(prints: DataFrame, bits: int = BITS, total: int = 3 * BITS) -> DataFra
                 each = a * n
                 run = np.repeat(np.arange(len(s)), each)
                 within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                x, y = s[run] + within % n[run], s[run] + n[run] + within // n[run]
-                apart = np.bitwise_count(fps[x] ^ fps[y])
-                found = np.flatnonzero((apart <= bits) & (nodes[x] != nodes[y]))
-                x, y, apart = x[found], y[found], apart[found]
-                found = apart + np.bitwise_count(nodes[x] ^ nodes[y]) + np.bitwise_count(more[x] ^ more[y]) <= total
-                for a, b in zip(nodes[x[found]].tolist(), nodes[y[found]].tolist(), strict=True):
-                    known.new(a, b)
+                x, y = fps[s[run] + within % n[run]], fps[s[run] + n[run] + within // n[run]]
+                found = np.flatnonzero((np.bitwise_count(x ^ y) <= bits) & (x != y))
+                if len(found):
+                    known.join(x[found], y[found])
             for k in np.flatnonzero(some & ~small):
-                at = slice(starts[k], starts[k] + sizes[k])
-                tree(fps[at], nodes[at], more[at], bits, total, known)
+                middle = starts[k] + n_near[k]
+                meet(fps[starts[k] : middle], fps[middle : starts[k] + sizes[k]], bits, known)
 
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy().view(np.uint64), batch.column(4).to_numpy(zero_copy_only=False)]
-            rows = [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            if not len(rows[0]):
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new[3] = new[3].view(np.uint64)
+            key, block, all_, fps = (np.concatenate(x) for x in zip(rest, new, strict=True))
+            if not len(key):
                 continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+            last = starts[-1]  # the last run may go on
             if last:
-                of(*(r[:last] for r in rows))
-            rest = [r[last:] for r in rows]
+                of(starts[:-1], np.diff(starts), all_[:last], fps[:last])
+            rest = [key[last:], block[last:], all_[last:], fps[last:]]
+            if rest[2].sum() > 1 << 16:  # a long run: what came by all codewords has met those that are held
+                meet(rest[3][~rest[2]], rest[3][rest[2]], bits, known)
+                rest = [r[~rest[2]] for r in rest]
             if len(known.above) > JOINED:
                 yield from given()
         if len(rest[0]):
-            of(*rest)
+            of(np.array([0]), np.array([len(rest[0])]), rest[2], rest[3])
         yield from given()
 
-    keys = prints.select("fp", "node", "more").mapInArrow(keyed, "key long, fp long, node long, more long, all boolean")
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return keys.repartition(n, "key").sortWithinPartitions("key", "all").mapInArrow(joined, "a long, b long")
+    keys = prints.select("fp").mapInArrow(keyed, "key long, block int, all boolean, fp long")
+    return keys.repartition(_tasks(spark), "key", "block").sortWithinPartitions("key", "block", "all").mapInArrow(joined, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with a smaller root: alternating large and small stars until nothing changes."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = now.agg(state).first()[0]
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both.where("v > u"), least, "u", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, least, "u", before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         after = now.agg(state).first()[0]
         if after == before:
@@ -338,11 +331,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     prints = cut(map_rows(own.withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, fp long", chunk=4096), "prints")
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     classes = cut(prints.groupBy("fp").agg(F.min(lead).alias("lead")), "classes")
-    roots = components(links(classes.select("fp", F.col("fp").alias("node"), F.col("fp").alias("more")), bits, 3 * bits))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
-    leads = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
-    rows = prints.join(rooted.select("fp", "root").join(leads, "root"), "fp")
-    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead.doc_id").alias("component_id"))
+    roots = components(links(classes, bits))
+    rooted = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")), "rooted")
+    leads = rooted.groupBy("root").agg(F.min("lead").alias("first"))
+    found = spread_join(rooted.select("fp", "root"), leads, "root", rooted.count()).select("fp", "first")
+    rows = spread_join(prints.select("doc_id", "fp"), found, "fp", prints.count())
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -366,6 +360,15 @@ def first_keys(own: np.ndarray, similarity: float, common: np.ndarray) -> np.nda
     return np.r_[own[~late], own[late]][: len(own) - least_of(len(own), similarity) + 1]
 
 
+def set_print(own: np.ndarray) -> int:
+    """64-bit SimHash of a set of hashes, as a signed number."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 14):
+        some = own[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<i8")[0])
+
+
 KEY_SCHEMA = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("c", pa.int64())])
 
@@ -384,12 +387,26 @@ def packed_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=PAIR_SCHEMA)
 
 
-def set_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp): those of one fingerprint with its first, and first ones as the Golay keys link them."""
+    first = cut(prints.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    same = spread_join(prints, first, "fp", prints.count()).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = cut(links(first), "print_links")
+    rows = found.count()
+    for end in ("a", "b"):
+        found = spread_join(found, first.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end, rows)
+    return same.union(found.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
+def set_links(texts: DataFrame, words: int, similarity: float, hold: int = HOLD) -> DataFrame:
     """Links (a, b) that span the same components as all pairs of texts (node, text; equal nodes have equal
-    texts) whose sets of shingles have that Jaccard similarity or more.  None is lost, and each link has it."""
+    texts) whose sets of shingles have that Jaccard similarity or more.  None is lost, and each link has it.
+
+    A task holds at most about ``hold`` rows of a key: keys of more are dealt over blocks, and each two blocks meet.
+    """
     spark = texts.sparkSession
     prepare(spark)
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = _tasks(spark)
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
         for node, text in rows:
@@ -402,12 +419,14 @@ def set_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     common = spark.sparkContext.broadcast(np.sort(np.array(found, np.int64).view(np.uint64)))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The fingerprint of each text (n is 0), and its first shingles."""
         for batch in batches:
             for at in range(batch.num_rows):
                 own = shingles(batch.column(1)[at].as_py(), words)
-                keys = first_keys(own, similarity, common.value).view(np.int64)
-                columns = [keys, np.full(len(keys), batch.column(0)[at].as_py(), np.int64), np.full(len(keys), len(own), np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=KEY_SCHEMA)
+                keys = np.r_[set_print(own), first_keys(own, similarity, common.value).view(np.int64)]
+                n = np.full(len(keys), len(own), np.int32)
+                n[0] = 0
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, np.full(len(keys), batch.column(0)[at].as_py(), np.int64), n)], schema=KEY_SCHEMA)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose key is there twice."""
@@ -427,14 +446,14 @@ def set_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of the first row of a run and each other."""
-        first = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        first = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32)]
         for batch in batches:
-            key, node, n = (np.concatenate((r, c.to_numpy())) for r, c in zip(first, batch.columns, strict=True))
+            key, block, node, n = (np.concatenate((r, c.to_numpy())) for r, c in zip(first, batch.columns, strict=True))
             if not len(key):
                 continue
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
             at = np.repeat(starts, np.diff(np.r_[starts, len(key)]))
-            first = [key[at[-1:]], node[at[-1:]], n[at[-1:]]]
+            first = [x[at[-1:]] for x in (key, block, node, n)]
             found = (node != node[at]) & (np.minimum(n, n[at]) >= similarity * np.maximum(n, n[at]) - 1e-9)
             yield from packed_pairs(node[at[found]], node[found], n[at[found]], n[found])
 
@@ -447,26 +466,28 @@ def set_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                 yield from packed_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held.clear()
 
-        def of(node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def of(cell: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
             if (root == root[0]).all():
                 return
+            within = cell[0] >> 32 == cell[0] & 0xFFFFFFFF  # one block with itself, else two with each other
             step = max(1, (1 << 18) // len(node))
             for at in range(0, len(node), step):
                 x, y = slice(at, at + step), slice(at, None)
                 low, high = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
-                i, j = np.nonzero((root[x, None] != root[None, y]) & (low >= similarity * high - 1e-9))
+                good = (root[x, None] != root[None, y]) & (low >= similarity * high - 1e-9)
+                i, j = np.nonzero(good if within else good & (side[x, None] != side[None, y]))
                 i, j = i[i < j] + at, j[i < j] + at
                 if len(i):
                     held.append([node[i], node[j], n[i], n[j]])
                     if sum(len(h[0]) for h in held) > 1 << 18:
                         yield from given()
 
-        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+        rest = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int32, np.int64)]
         for batch in batches:
             rows = [np.concatenate((r, c.to_numpy())) for r, c in zip(rest, batch.columns, strict=True)]
             if not len(rows[0]):
                 continue
-            starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+            starts = np.flatnonzero(np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 yield from of(*(r[a:b] for r in rows[1:]))
             rest = [r[starts[-1] :] for r in rows]
@@ -481,29 +502,45 @@ def set_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
         needed = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6 - F.greatest(others("na"), others("nb"))
         own = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-        return cut(own.where(F.col("c") >= share * needed).select("a", "b"), "pairs")
+        return own.where(F.col("c") >= share * needed).select("a", "b")
 
     def verified(edges: DataFrame) -> DataFrame:
         """Those pairs whose sets are as similar."""
+        edges = cut(edges, "pairs")
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         own = cut(map_rows(texts.join(ends, "node", "left_semi"), sets, "node long, own array<long>", chunk=16).dropDuplicates(["node"]), "sets")
-        both = edges.join(own.select(F.col("node").alias("a"), F.col("own").alias("one")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("other")), "b")
+        rows = edges.count()
+        both = spread_join(edges, own.select(F.col("node").alias("a"), F.col("own").alias("one")), "a", rows)
+        both = spread_join(both, own.select(F.col("node").alias("b"), F.col("own").alias("other")), "b", rows, by="a")
         same = F.size(F.array_intersect("one", "other"))
         return cut(both.where(same >= similarity * (F.size("one") + F.size("other") - same) - 1e-9).select("a", "b"), "links")
 
-    keys = texts.mapInArrow(keyed, "key long, node long, n int").repartition(tasks, "key").sortWithinPartitions("key")
-    keys = cut(keys.mapInArrow(shared, "key long, node long, n int"), "keys")
+    raw = cut(texts.mapInArrow(keyed, "key long, node long, n int"), "shingles")
+    alike = print_pairs(raw.where("n = 0").select("node", F.col("key").alias("fp")).distinct())
+    keys = cut(raw.where("n > 0").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long, n int"), "keys")
+    hot = cut(keys.groupBy("key").count().where(F.col("count") > hold).select("key", F.ceil(F.col("count") / hold).alias("blocks")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    keys = keys.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     schema = "a long, b long, na int, nb int, c long"
-    found = verified(counted(keys.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(stars, schema), 0.5))
+    dealt = keys.select("key", "block", "node", "n").repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "node")
+    found = verified(alike.union(counted(dealt.mapInArrow(stars, schema), 0.5)).distinct())
     roots = cut(components(found), "roots")
-    left = keys.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    return found.union(verified(counted(left.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(pairs, schema), 1.0)))
+    left = spread_join(keys, roots, "node", keys.count(), how="left").withColumn("root", F.coalesce("root", "node"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    left = left.withColumn("other", other).select(
+        "key", (F.least("block", "other").cast("long") * (1 << 32) + F.greatest("block", "other")).alias("cell"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "n", "root",
+    )
+    dealt = left.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "side", "node", "n", "root")
+    return found.union(verified(counted(dealt.mapInArrow(pairs, schema), 1.0)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each component, unchanged: that with the smallest doc_id (of equal ids, by hash of the text).
 
-    Texts of at least that similarity over shingles of ``words`` words are linked, and no others.
+    Texts of at least that similarity over shingles of ``words`` words are linked, and no others.  Null texts count
+    as empty ones and link with these only; of rows without doc_id one stays if its whole component has none;
+    of rows that repeat with id and text one stays; an empty table gives an empty one.
     """
     own = docs.select(*DOCUMENT_COLUMNS).withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = cut(own.select(F.col("doc_id").cast("long").alias("doc_id"), "h"), "rows")

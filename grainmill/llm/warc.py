@@ -11,12 +11,15 @@ order, headers and members depend on the pages alone, so reruns give equal bytes
 Of equal payloads of at least ``least`` bytes, the record with the smallest page_id is the
 response and the others are revisits that refer to it.
 
-Files lie in the shared folder; any store that pyarrow opens by URI will do.
-
-Defined cases: null html is an empty payload; pages without page_id come first in range 0,
-never lend their id to a revisit unless all equal payloads lack one (then they are
-responses); rows with equal page_id and payload: the first is the response, the others
-revisit that same page_id; an empty table gives an empty manifest and an empty result.
+Files lie in the shared folder, whose path is qualified by Spark's file system first; any store
+that pyarrow opens by URI will do.
+
+Defined cases: null html is an empty payload; payloads of any length are one record each; pages
+without page_id come first, never lend their id to a revisit unless all equal payloads lack one
+(then they are responses); of rows with equal page_id and payload the first is the response, the
+others revisit that same page_id; records of a page_id with several payloads are told apart by
+their digests; an empty table gives an empty manifest and an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import Ranges, deal, map_rows, scratch
+from grainmill.llm.common import Ranges, cut, deal, map_rows, scratch, spread_join
+from grainmill.session import qualified
 
 QUERY = "op3_warc_shards"
 
@@ -46,8 +50,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "part int, seq int, name string, temp string, records long, bytes long, sha256 string"
 
 
-def _record_id(page_id: int | None, n: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{n}')}>"
+def _record_id(page_id: int | None, digest: str, n: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{n}')}>"
 
 
 def _digest(data: bytes) -> str:
@@ -58,15 +62,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     """One record, not compressed: response with the payload, or revisit without."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
+    digest = _digest(payload)
     head = [
-        VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, n)}", f"WARC-Date: {DATE}",
+        VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest, n)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url or f'urn:page:{page_id}', safe=':/?#[]@!$&()*+,;=%~' + chr(39))}",
-        f"WARC-Payload-Digest: {_digest(payload)}", f"WARC-Block-Digest: {_digest(block)}",
+        f"WARC-Payload-Digest: {digest}", f"WARC-Block-Digest: {_digest(block)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
         f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, 0)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest, 0)}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -109,49 +114,52 @@ class Roller:
             self.seq += 1
 
 
-def decided(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Payload classes that hold a revisit: digest and the smallest page_id; then one row (page_id, digest, refers_to)
-    for each page in them.  Small columns only; a large class splits like any skewed join."""
-    own = pages.where(F.octet_length("html") >= least).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+def decided(small: DataFrame) -> DataFrame:
+    """Of rows (page_id, tie, digest): one row (page_id, tie, digest, refers_to) for each page and payload of a class that
+    holds a revisit, with the class's smallest page_id.  Small columns only; the rows of a large class are spread."""
+    own = small.where("digest is not null").select("page_id", "tie", "digest")
     classes = own.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    return own.join(classes.select("digest", "refers_to"), "digest").groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
+    found = spread_join(own, classes.select("digest", "refers_to"), "digest", own.count())
+    return found.groupBy("page_id", "tie", "digest").agg(F.min("refers_to").alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES, least: int = LEAST) -> DataFrame:
     """Write archives of pages (page_id, url, html) under ``folder``; returns the published manifest."""
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    ranges = Ranges(own, "page_id", F.octet_length("html") + 256, range_bytes, least=2 * spark.sparkContext.defaultParallelism)
+    own = own.withColumn("tie", F.xxhash64("html"))
+    digest = F.when(F.octet_length("html") >= least, F.sha2(F.col("html").cast("binary"), 256))
+    small = cut(own.select("page_id", "tie", digest.alias("digest"), (F.octet_length("html") + 256).alias("w")), "payloads")
+    ranges = Ranges(small, "page_id", "tie", "w", range_bytes, least=2 * spark.sparkContext.defaultParallelism)
     nothing = F.lit(None).cast("string")
-    rows = own.select("page_id", F.lit(1).alias("kind"), "url", "html", nothing.alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    known = decided(own, least).select("page_id", F.lit(0).alias("kind"), nothing.alias("url"), nothing.alias("html"), "digest", "refers_to")
-    dealt = deal(rows.union(known).withColumn("part", ranges.part()), "part", ranges.parts)
-    dealt = dealt.sortWithinPartitions("part", F.asc_nulls_first("page_id"), "kind", F.xxhash64("url", "html"))
+    rows = own.select("page_id", "tie", F.lit(1).alias("kind"), "url", "html", nothing.alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    known = decided(small).select("page_id", "tie", F.lit(0).alias("kind"), nothing.alias("url"), nothing.alias("html"), "digest", "refers_to")
+    dealt = deal(ranges.with_part(rows.union(known)), "part", ranges.parts)
+    dealt = dealt.sortWithinPartitions("part", F.asc_nulls_first("page_id"), "tie", "kind", F.xxhash64("url"))
 
     def work(found: Iterator[tuple]) -> Iterator[tuple]:
-        roller, now, revisits, answered, seen = None, object(), {}, set(), 0
-        for page_id, kind, url, html, digest, refers_to, part in found:
+        roller, now, revisits, seen = None, None, {}, {}
+        for page_id, tie, kind, url, html, digest, refers_to, part in found:
             if roller is None or roller.part != part:
                 if roller:
                     yield from roller.done()
                 roller = Roller(folder, part, roll_bytes)
-            if page_id != now:
-                now, revisits, answered, seen = page_id, {}, set(), 0
+            if (page_id, tie) != now:
+                now, revisits, seen = (page_id, tie), {}, {}
             if kind == 0:
                 revisits[digest] = refers_to
                 continue
             payload = html.encode("utf-8", "replace")
-            own = hashlib.sha256(payload).hexdigest() if revisits else None
+            own = hashlib.sha256(payload).hexdigest()
+            n = seen[own] = seen.get(own, -1) + 1
             to = revisits.get(own)
-            revisit = to is not None and (to != page_id or own in answered)
-            yield from roller.add(member(record(page_id, url, payload, to, revisit, seen)))
-            answered.add(own)
-            seen += 1
+            yield from roller.add(member(record(page_id, url, payload, to, to is not None and (to != page_id or n > 0), n)))
         if roller:
             yield from roller.done()
 
     written = f"{folder}/written"
-    map_rows(dealt.select("page_id", "kind", "url", "html", "digest", "refers_to", "part"), work, MANIFEST).write.parquet(written)
+    map_rows(dealt.select("page_id", "tie", "kind", "url", "html", "digest", "refers_to", "part"), work, MANIFEST).write.parquet(written)
     manifest = spark.read.parquet(written)
 
     def commit(found: Iterator[tuple]) -> Iterator[tuple]:
@@ -189,6 +197,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     Digests are checked: of blocks always, and of payloads where the record holds one.
     """
+    folder = qualified(manifest.sparkSession, folder)
 
     def work(rows: Iterator[tuple]) -> Iterator[tuple]:
         store, base = _open(folder)

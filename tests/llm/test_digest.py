@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from grainmill.llm import digest
+from grainmill.llm.common import Ranges
 
 
 def test_rows(spark, odd_docs, odd_rows, no_docs):
@@ -39,6 +42,48 @@ def test_last_meets_first(spark, part_bytes):
         assert got[doc_id].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("columns", ["doc_id long, text string", "doc_id long, text string, part int, h long, at int"])
+def test_ties_do_not_depend_on_the_parts(spark, columns):
+    rows = [(i // 3 if i % 7 else None, f"text {i % 40} " * (i % 5 + 1)) for i in range(60)] + [(7, "the same text")] * 5
+    df = spark.createDataFrame([(*r, 1, 2, 3)[: columns.count(",") + 1] for r in rows], columns)
+    hashes = {r.text: r.k for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    edits = [digest.edited(t, order[(i + 1) % len(order)][1]) for i, (_, t) in enumerate(order)]
+    expected = sorted(repr((r[0], digest.digest(r[1]), hashlib.sha256(e.encode()).hexdigest())) for r, e in zip(order, edits, strict=True))
+    for part_bytes, n in ((1, 4), (200, 1), (900, 3), (10**9, 2)):
+        got = digest.quartile_digests(df.repartition(n), part_bytes).collect()
+        assert sorted(repr((r.doc_id, r.fingerprint, r.edited_sha256)) for r in got) == expected
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = "".join(chr(97 + i * i % 23) for i in range(5000)) + "é漢"
+    whole = digest.digest(text)
+    for piece in (1, 2, 3, 999, 5004):
+        monkeypatch.setattr(digest, "PIECE", piece)
+        assert digest.digest(text) == whole
+
+
+def test_parts_stay_near_their_goal(spark):
+    draw = random.Random(7)
+    sets = {
+        "outlier": [(i, i) for i in range(20_000)] + [(2**62, 1), (-(2**63), 2), (2**63 - 1, 3)],
+        "clusters": [(c * 2**40 + draw.randrange(50), draw.getrandbits(63) - 2**62) for c in range(90) for _ in range(200)],
+        "one id": [(5, draw.getrandbits(64) - 2**63) for _ in range(9000)] + [(None, draw.getrandbits(64) - 2**63) for _ in range(9000)],
+    }
+    for name, rows in sets.items():
+        df = spark.createDataFrame(rows, "k long, t long").withColumn("w", F.lit(1))
+        ranges = Ranges(df, "k", "t", "w", 400, bins=128)
+        got = ranges.with_part(df).collect()
+        sizes = Counter(r.part for r in got)
+        assert max(sizes.values()) < 2 * 400 and min(sizes) == 0 and max(sizes) == ranges.parts - 1, name
+        ordered = sorted(got, key=lambda r: (r.k is not None, r.k or 0, r.t >> 1))
+        assert [r.part for r in ordered] == sorted(r.part for r in got), name
+    none = spark.createDataFrame([], "k long, t long, w int")
+    assert Ranges(none, "k", "t", "w", 10).with_part(none).count() == 0
+    same = spark.createDataFrame([(1, 1, 1)] * 50, "k long, t long, w int")  # rows that nothing tells apart stay together
+    assert {r.part for r in Ranges(same, "k", "t", "w", 10).with_part(same).collect()} == {0}
+
+
 def test_one_row(spark):
     row = digest.quartile_digests(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
     assert row.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and row.near_next == 1.0

@@ -7,8 +7,9 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from grainmill.llm import simhash
+from grainmill.llm import common, simhash
 
 
 def plain_print(text):
@@ -69,17 +70,35 @@ def near_prints(n, seed):
     return sorted(found)
 
 
-def test_no_link_is_lost(spark, monkeypatch):
+def test_no_link_is_lost(spark):
     prints = near_prints(250, 4)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(s, s, s) for s in signed], "fp long, node long, more long").repartition(3)
+    df = spark.createDataFrame([(s,) for s in signed], "fp long").repartition(3)
     expected = plain_groups(prints, signed)
-    for many in (10**9, 1):  # both kinds of keys
-        monkeypatch.setattr(simhash, "MANY", many)
-        roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    for hold, sample in ((simhash.HOLD, simhash.SAMPLE), (2, 1), (2, 7)):  # keys of more than two rows are dealt over blocks
+        roots = {r.node: r.root for r in simhash.components(simhash.links(df, hold=hold, sample=sample)).collect()}
         assert [roots.get(s, s) for s in signed] == expected
 
 
+def test_one_key_with_very_many_rows(spark):
+    draw = random.Random(5)
+    prints = sorted({(draw.getrandbits(22) << 42) for _ in range(6000)})  # two whole segments in common
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(s,) for s in signed], "fp long").repartition(2)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, hold=500, sample=4)).collect()}
+    assert [roots.get(s, s) for s in signed] == plain_groups(prints, signed)
+
+
+def test_chains_longer_than_sixty_rounds_and_hot_nodes_end(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 3)  # salts for every node with more than a few edges
+    draw = random.Random(6)
+    names = list(range(3000))
+    draw.shuffle(names)
+    edges = list(zip(names, names[1:], strict=False)) + [(5000, i) for i in range(5001, 5400)] + [(6400 - i, 6400) for i in range(1, 300)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 3000)) and all(got[i] == 5000 for i in range(5001, 5400)) and all(got[i] == 6101 for i in range(6102, 6401))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1300)] + [(-5, 7), (3, 3)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -134,6 +153,20 @@ def test_sets_link_exactly_from_the_similarity_on(spark):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(r.doc_id for r in simhash.keep_one(df.repartition(3)).collect())
     assert kept == [i for i in range(len(texts)) if root(i) == i]
+    own = df.select(F.col("doc_id").alias("node"), "text").repartition(3)  # keys of more than two rows are dealt over blocks
+    roots = {r.node: r.root for r in simhash.components(simhash.set_links(own, 5, 0.8, hold=2)).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == [root(i) for i in range(len(texts))]
+
+
+def test_links_of_fingerprints_are_verified(spark):
+    base = ["".join(random.Random(i).choice("abcdefgh") for _ in range(6)) for i in range(400)]
+    texts = [base, [*base[:-1], "last"], [*base[:200], *reversed(base[200:])]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")
+    prints = spark.createDataFrame([(i, simhash.set_print(simhash.shingles(" ".join(t), 5))) for i, t in enumerate(texts)], "node long, fp long")
+    assert {(r.a, r.b) for r in simhash.print_pairs(prints).collect()} <= {(1, 0), (0, 1)}
+    assert {frozenset(r) for r in simhash.set_links(df, 5, 0.8).collect()} == {frozenset((0, 1))}
+    same = spark.createDataFrame([(i, 7) for i in range(5)] + [(9, 15)], "node long, fp long")
+    assert {frozenset(r) for r in simhash.print_pairs(same).collect()} == {frozenset(x) for x in ((0, 1), (0, 2), (0, 3), (0, 4), (9, 0))}
 
 
 def test_first_keys_of_similar_sets_meet():

@@ -54,6 +54,19 @@ def test_reruns_give_equal_bytes(spark, pages, tmp_path):
     assert sorted(a) == sorted(b)
 
 
+def test_pages_without_id_are_split_by_payload(spark, tmp_path):
+    rows = [(None, f"u{i}", f"page {i % 150} " * 30) for i in range(300)] + [(4, "u", "page 3 " * 30), (4, "u", "page 3 " * 30), (4, "u", "page 9 " * 30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write(df, f"file://{tmp_path}", range_bytes=10_000)
+    assert manifest.select("part").distinct().count() > 5
+    got = warc.read(manifest, f"file://{tmp_path}").collect()
+    assert len(got) == 303 and sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id) == [(4, "response", None)] * 2 + [(4, "revisit", 4)]
+    assert sum(r.refers_to == 4 for r in got) == 5 and sum(r.record_type == "response" for r in got) == 298
+    ids = [line for r in manifest.collect() for line in gzip.decompress((tmp_path / r["name"]).read_bytes()).split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    referred = {line.split()[1] for r in manifest.collect() for line in gzip.decompress((tmp_path / r["name"]).read_bytes()).split(b"\r\n") if line.startswith(b"WARC-Refers-To")}
+    assert referred <= {i.split()[1] for i in ids} and len(referred) == 2
+
+
 def test_empty(spark, pages, tmp_path):
     manifest = warc.write(pages.limit(0), f"file://{tmp_path}")
     assert manifest.count() == 0 and warc.read(manifest, f"file://{tmp_path}").count() == 0
