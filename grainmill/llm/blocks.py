@@ -12,9 +12,16 @@ Scripts, styles and comments of the mark-up are no text at all.  Character refer
 decoded, white space in a block becomes one space, and the kept blocks are joined in order
 by empty lines; nothing else is dropped or cut.
 
-Defined cases: null or empty html gives empty text; broken mark-up is read as browsers
-roughly do (unclosed elements end with their parents, a stray ``<`` is text); rows with equal
-page_id are extracted each on its own; other columns are ignored.
+Reading is linear in the page: an element carries the hashed marks of its ancestors as bits,
+and every failed look for the end of a tag ends the looking.  Pages of very many blocks go
+through the network piece by piece, with the state carried on.
+
+Defined cases: null or empty html, and pages without main text, give empty text; broken mark-up
+is read as browsers roughly do (unclosed elements end with their parents, a head without end
+tag ends where the body must have begun, a stray ``<`` is text); pages of any length and depth
+are read whole; formulae (math, svg) are text of their block; rows with equal page_id, and
+repeated rows, are extracted each on its own; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,110 +44,154 @@ ORACLE_SQL = None
 #: Sizes of the hashed parts of a block's vector, measures, and units of each direction.
 TAGS, MARKS, WORDS, MEASURES, UNITS = 32, 32, 16, 8, 16
 SIZE = 2 * TAGS + MARKS + WORDS + MEASURES
+#: Blocks of a page that go through the network at a time.
+PIECE = 1 << 16
 
 #: Elements whose content is no text, elements inside a block, elements without an end tag.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea option".split())
+SILENT = frozenset("script style noscript template head title annotation annotation-xml iframe object canvas audio video select textarea option".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose inside is part of the line, and elements that may stand in a head.
+FOREIGN = frozenset(("math", "svg"))
+HEAD = frozenset("base link meta noscript script style template title".split())
 #: Elements that end an open one of the same group.
 GROUPS = {"li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "cell", "th": "cell", "option": "option"}
 SCOPES = {"li": {"ul", "ol", "menu"}, "d": {"dl"}, "tr": {"table"}, "cell": {"tr", "table"}, "option": {"select"}}
 
-MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[^\W\d_]+|[©|»•]")
 
 
 class Block:
-    """A leaf block: its text, and what its vector is made of."""
+    """A leaf block: its text, and what its vector is made of: hashed tags and marks of its path as bits,
+    the nearest block element, the number of these, and the share of text in links."""
 
-    __slots__ = ("linked", "marks", "path", "text")
+    __slots__ = ("depth", "last", "linked", "marks", "tags", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], marks: tuple[str, ...], linked: float) -> None:
-        self.text, self.path, self.marks, self.linked = text, path, marks, linked
+    def __init__(self, text: str, tags: int = 0, marks: int = 0, last: str = "", depth: int = 0, linked: float = 0.0) -> None:
+        self.text, self.tags, self.marks, self.last, self.depth, self.linked = text, tags, marks, last, depth, linked
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
-    found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    linked = 0
-    silent = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
+class Reader:
+    """Reads one page into leaf blocks.  A frame of the stack is an open element (name, whether it is
+    part of the line, tags, marks, last, depth), the latter four with those of its ancestors."""
+
+    ROOT = ("", False, 0, 0, "", 0)
+
+    def __init__(self) -> None:
+        self.found: list[Block] = []
+        self.stack: list[tuple] = []
+        self.open: dict[str, list[int]] = {}
+        self.parts: list[str] = []
+        self.linked = self.silent = self.foreign = 0
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple(t for t, _ in stack if t not in INLINE)
-                found.append(Block(text, path, tuple(m for _, own in stack for m in own), min(1.0, linked / len(text))))
-            parts.clear()
-        linked = 0
-
-    def close(depth: int) -> None:
-        nonlocal silent
-        if any(t not in INLINE for t, _ in stack[depth:]):
-            flush()
-        silent -= sum(t in SILENT for t, _ in stack[depth:])
-        del stack[depth:]
-
-    at = 0
-    while at <= len(page):
-        m = MARKUP.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not silent:
+                _, _, tags, marks, last, depth = self.stack[-1] if self.stack else self.ROOT
+                self.found.append(Block(text, tags, marks, last, depth, min(1.0, self.linked / len(text))))
+            self.parts.clear()
+        self.linked = 0
+
+    def close(self, depth: int) -> None:
+        """Close all elements from that place in the stack on."""
+        if any(not line for _, line, *_ in self.stack[depth:]):
+            self.flush()
+        while len(self.stack) > depth:
+            name = self.stack.pop()[0]
+            self.open[name].pop()
+            self.silent -= name in SILENT
+            self.foreign -= name in FOREIGN
+
+    def place(self, *names: str) -> int:
+        """Place in the stack of the innermost open element of these names, or -1."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=-1)
+
+    def text(self, text: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and not text.isspace():
+            self.close(self.place("head"))
+        if not self.silent:
             text = references.unescape(text)
-            parts.append(text)
-            if any(t == "a" for t, _ in stack):
-                linked += len(text.strip())
-        if not m:
+            self.parts.append(text)
+            if self.open.get("a"):
+                self.linked += len(text.strip())
+
+    def end(self, name: str) -> None:
+        if (depth := self.place(name)) >= 0:
+            self.close(depth)
+        elif name not in INLINE:
+            self.flush()
+
+    def start(self, name: str, attributes: str) -> None:
+        if name == "br":
+            self.parts.append("\n")
+            return
+        if name not in HEAD and self.open.get("head"):
+            self.close(self.place("head"))
+        line = name in INLINE or name in FOREIGN or self.foreign > 0
+        if not line:
+            if (depth := self.place("p")) >= 0:  # a block element ends a paragraph
+                self.close(depth)
+            if group := GROUPS.get(name):
+                depth = self.place(*(n for n, g in GROUPS.items() if g == group))
+                if depth > self.place(*SCOPES[group]):
+                    self.close(depth)
+            self.flush()
+        if name in VOID or attributes.endswith("/"):
+            return
+        _, _, tags, marks, last, depth = self.stack[-1] if self.stack else self.ROOT
+        if not line:
+            tags, last, depth = tags | 1 << slot(name, TAGS), name, depth + 1
+        if "class" in attributes or "id" in attributes or "role" in attributes.lower():
+            for found in MARK.findall(attributes):
+                for word in re.findall(r"[a-z]+", "".join(found).lower()):
+                    marks |= 1 << slot(word, MARKS)
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, line, tags, marks, last, depth))
+        self.silent += name in SILENT
+        self.foreign += name in FOREIGN
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Leaf blocks with text, in page order."""
+    reader, at, tag, last_end = Reader(), 0, TAG, page.rfind(">")
+    while at < len(page):
+        opened = page.find("<", at)
+        if opened < 0 or opened > last_end and not page.startswith("<!--", opened):
+            reader.text(page[at:])
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                close(depth)
-            elif name not in INLINE:
-                flush()
+        if opened > at:
+            reader.text(page[at:opened])
+        if page.startswith("<!--", opened):
+            end = page.find("-->", opened + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        if name == "br":
-            parts.append("\n")
+        if page.startswith(("<!", "<?"), opened):
+            at = page.find(">", opened) + 1
             continue
-        if name not in INLINE:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if depth is not None:  # a block element ends a paragraph
-                close(depth)
-            if group := GROUPS.get(name):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in SCOPES[group]:
-                        break
-                    if GROUPS.get(stack[i][0]) == group:
-                        close(i)
-                        break
-            flush()
-        if name in VOID or m[3].endswith("/"):
+        m = tag.match(page, opened)
+        if not m and tag is TAG and PLAIN_TAG.match(page, opened):
+            m, tag = PLAIN_TAG.match(page, opened), PLAIN_TAG  # quotes do not close; from here on they are not looked at
+        if not m:
+            reader.text("<")
+            at = opened + 1
             continue
-        if name == "body":  # an unclosed head ends here
-            for i, (t, _) in enumerate(stack):
-                if t in SILENT:
-                    close(i)
-                    break
-        marks: tuple[str, ...] = ()
-        if "class" in m[3] or "id" in m[3] or "role" in m[3].lower():
-            marks = tuple(w for a in MARK.findall(m[3]) for w in re.findall(r"[a-z]+", "".join(a).lower()))
-        if name in RAW:
+        at, name = m.end(), m[2].lower()
+        if m[1]:
+            reader.end(name)
+        elif name in RAW and not m[3].endswith("/"):
+            if name not in INLINE and not reader.foreign:
+                reader.flush()
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            continue
-        stack.append((name, marks))
-        silent += name in SILENT
-    flush()
-    return found
+        else:
+            reader.start(name, m[3])
+    reader.flush()
+    return reader.found
 
 
 def _slot(word: str, size: int) -> int:
@@ -148,6 +199,7 @@ def _slot(word: str, size: int) -> int:
 
 
 _SLOTS: dict[tuple[str, int], int] = {}
+_BITS = np.arange(max(TAGS, MARKS))
 
 
 def slot(word: str, size: int) -> int:
@@ -165,18 +217,16 @@ def vectors_of(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), SIZE), np.float32)
     for i, b in enumerate(found):
         row = out[i]
-        for tag in b.path:
-            row[slot(tag, TAGS)] = 1
-        if b.path:
-            row[TAGS + slot(b.path[-1], TAGS)] = 1
-        for mark in b.marks:
-            row[2 * TAGS + slot(mark, MARKS)] = 1
+        row[:TAGS] = b.tags >> _BITS[:TAGS] & 1
+        if b.last:
+            row[TAGS + slot(b.last, TAGS)] = 1
+        row[2 * TAGS : 2 * TAGS + MARKS] = b.marks >> _BITS[:MARKS] & 1
         words = WORD.findall(b.text)
         for word in words:
             row[2 * TAGS + MARKS + slot(word.lower(), WORDS)] += 1 / len(words)
         n = len(b.text)
         stops = sum(map(b.text.count, ".!?;,"))
-        row[-MEASURES:] = (np.log1p(n) / 6, b.linked, min(1, 20 * stops / n), n < 25, n > 120, b.text[-1] in ".!?:\"”»", len(b.path) / 8, 1)
+        row[-MEASURES:] = (np.log1p(n) / 6, b.linked, min(1, 20 * stops / n), n < 25, n > 120, b.text[-1] in ".!?:\"”»", min(8, b.depth / 8), 1)
     return out
 
 
@@ -193,13 +243,12 @@ class Labeller:
         self.w["o"] = (draw.randn(2 * UNITS + SIZE) / np.sqrt(SIZE)).astype(np.float32)
         self.w["oc"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (T, B, UNITS) of x (T, B, SIZE); padded steps keep the state."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """Hidden states (T, B, UNITS) of x (T, B, SIZE); padded steps keep the state, which ``state`` carries on."""
         steps, batch = x.shape[:2]
         z = x.reshape(-1, SIZE) @ self.w[way + "x"] + self.w[way + "c"]
         z = z.reshape(steps, batch, -1)
-        h = np.zeros((batch, UNITS), np.float32)
-        c = np.zeros((batch, UNITS), np.float32)
+        h, c = state or (np.zeros((batch, UNITS), np.float32), np.zeros((batch, UNITS), np.float32))
         out = np.empty((steps, batch, UNITS), np.float32)
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
             a = z[t] + h @ self.w[way + "h"]
@@ -214,6 +263,8 @@ class Labeller:
             c = m * new + (1 - m) * c
             h = m * (o * tanh) + (1 - m) * h
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -270,11 +321,30 @@ class Labeller:
 
     def label(self, pages: list[list[Block]]) -> list[list[bool]]:
         """Labels of the blocks of some pages."""
+        if len(pages) == 1 and len(pages[0]) > PIECE:
+            return [self.label_long(pages[0])]
         x, mask = padded([vectors_of(p) for p in pages])
         good = self.scores(x, mask) > 0
         return [good[: len(p), b].tolist() for b, p in enumerate(pages)]
 
 
+    def label_long(self, page: list[Block], piece: int | None = None) -> list[bool]:
+        """The same for one page of many blocks, piece by piece: only hidden states are kept of each block."""
+        piece = piece or PIECE
+        states = {way: np.empty((len(page), UNITS), np.float32) for way in "fb"}
+        starts = range(0, len(page), piece)
+        for way in "fb":
+            carried: list = []
+            for a in starts if way == "f" else reversed(starts):
+                x, mask = padded([vectors_of(page[a : a + piece])])
+                states[way][a : a + piece] = self._run(x, mask, way, state=carried)[:, 0]
+        good = []
+        for a in starts:
+            both = np.concatenate((states["f"][a : a + piece], states["b"][a : a + piece], vectors_of(page[a : a + piece])), 1)
+            good += (both @ self.w["o"] + self.w["oc"] > 0).tolist()
+        return good
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pages as one array (T, B, SIZE), and which steps are theirs."""
     steps = max(1, *map(len, pages)) if len(pages) > 1 else max(1, len(pages[0]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -131,17 +133,70 @@ def test_balanced_partition():
     assert np.bincount(part, minlength=8).max() <= 1000 / 8 * 1.06
 
 
+class Article(HTMLParser):
+    """An independent reading: the blocks of the article elements, without what is marked as something else."""
+
+    VOID, INLINE = {"br", "img", "input", "meta", "link", "hr"}, {"a", "b", "i", "em", "strong", "span", "code", "u"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.blocks, self.parts = 0, 0, [], []
+
+    def cut(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        if tag in self.VOID:
+            return
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag not in self.INLINE:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.cut()
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.skip:
+            self.parts.append(data)
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     got = {r.page_id: r for r in blocks.main_texts(pages).collect()}
     right = 0
     for r in pages.collect():
-        expected = "\n\n".join(b.text for b in blocks.blocks_of(r.html) if "article" in b.path)
-        right += got[r.page_id].text == expected
+        plain = Article()
+        plain.feed(r.html)
+        plain.close()
+        plain.cut()
+        right += got[r.page_id].text == "\n\n".join(plain.blocks)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
     assert len(got) == pages.count() and right >= 0.98 * len(got)
 
 
+def test_reading_is_linear_in_the_page():
+    for page, most in (("<div>x " * 200_000, 20), ("<a " * 340_000, 5), ("<!x" * 300_000, 5), ("<a '" * 250_001 + ">", 5), ("<p>y<b>" * 100_000, 20), ("<ul><li>z" * 100_000, 20)):
+        began = time.perf_counter()
+        found = blocks.blocks_of(page)
+        assert time.perf_counter() - began < most, page[:8]
+        assert "'" in page or sum(len(b.text) for b in found) >= 100_000  # without quotes that close, all is one tag
+    deep = blocks.blocks_of("<div class=a>x " * 50_000)
+    assert deep[-1].depth == 50_000 and blocks.vectors_of(deep[-5:]).max() < 20
+
+
+def test_long_pages_are_labelled_in_pieces():
+    page = blocks.blocks_of("<nav><ul><li><a href=x>Home</a></ul></nav><article>" + "<p>Some words in a row, and some more of them here.</p>" * 300 + "</article><footer>© 2024</footer>")
+    assert blocks.labeller().label_long(page, 7) == blocks.labeller().label([page])[0]
+
+
 def test_odd_pages(spark):
     long = "<article>" + "<p>Some words in a row, and some more of them here.</p>" * 5000 + "</article>"
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no tags at all"), (4, "u", "<<<>><p"), (5, "u", long), (None, "u", "<p>x"), (5, "u", long), (6, "u", "<script>var a = '<p>no</p>'</script><!-- x")]
@@ -189,6 +244,8 @@ def test_slopes():
     ("page", "texts"),
     [
         ("<p>a&amp;b &lt;c&gt; d</p>", ["a&b <c> d"]), ("<p>a<br>b<p>c", ["a b", "c"]), ("<div>x<p>y</p>z</div>", ["x", "y", "z"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <svg><g><text>y</text></g></svg> ends</p>", ["so x=2 y ends"]),
+        ("<head><title>t</title><p>b<p>c", ["b", "c"]), ("<head><meta x>text<div>d", ["text", "d"]), ("<p title='a>b", ["b"]), ("a<b", ["a<b"]),
         ("<p>a <b>b</b>c</p>", ["a bc"]), ("<ul><li>a<li>b<ul><li>c</ul></ul>", ["a", "b", "c"]), ("x < y <p a='>'>z", ["x < y", "z"]),
         ("<head><title>t</title><style>p{}</style></head><body>b", ["b"]), ("<p>a\n\t b</p><!-- c --><p>d</p>", ["a b", "d"]),
     ],
@@ -199,6 +256,6 @@ def test_blocks(page, texts):
 
 def test_all_words_of_a_block_are_hashed():
     long = "word " * 200
-    one, other = blocks.vectors_of([blocks.Block(long + end, ("p",), (), 0.0) for end in ("alpha beta gamma", "xylem delta stone")])
+    one, other = blocks.vectors_of([blocks.Block(long + end, 1, 0, "p", 1, 0.0) for end in ("alpha beta gamma", "xylem delta stone")])
     words = slice(2 * blocks.TAGS + blocks.MARKS, -blocks.MEASURES)
     assert not np.allclose(one[words], other[words]) and one[words].sum() == pytest.approx(1, abs=1e-4)
