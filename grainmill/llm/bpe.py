@@ -9,8 +9,10 @@ encoded through a window, tokens leave once they are stable, and memory stays
 constant.  Pieces are short runs between stable cuts; their tokens are kept in a cache
 of bounded size.  Decoding feeds token bytes to an incremental UTF-8 machine.
 
-Defined cases: null text counts as empty and has no tokens; empty tables give empty
-results; repeated rows are encoded each on its own; other columns are ignored.
+Defined cases: null text counts as empty and has no tokens; texts of any length go through in
+chunks; empty tables give empty results; repeated rows and rows with equal doc_id are encoded
+each on its own; of merges of equal rank the leftmost goes first; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ QUERY = "op10_bpe_codec"
 ORACLE_SQL = None
 
 #: Default vocabulary file; a parameter everywhere.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Pieces kept with their tokens in a worker; then the cache starts afresh.
 CACHE_PIECES = 400_000

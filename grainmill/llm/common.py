@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,11 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, rows: int, how: str =
     return own.join(other, [key, "salt"], how).drop("salt")
 
 
+def matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    """A batch's arrays of equal length, none of them null, as the rows of a matrix."""
+    return np.asarray(column.flatten(), kind).reshape(len(column), -1)
+
+
 class Ranges:
     """Parts of the order of (key, tie), both long, of about equal weight and the same in every run.  Rows without
     a key come first.

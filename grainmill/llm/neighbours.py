@@ -6,14 +6,18 @@ from each vector which parts its neighbours are in.  Every row is indexed in its
 part; a query goes to as many of its most probable parts as the sample needed for the wanted
 recall against brute force, and all rows there are ranked by exact distances.
 
-Large parts are dealt in blocks of about ``BLOCK`` rows, so that many equal vectors, or a
-lopsided part, never meet in one task; queries go to every block of a part.
+The number of parts follows the number of rows, and the sample the number of parts, up to
+``most_sample`` vectors (131,072, with 4,096 parts, as it is); beyond four million rows parts
+grow unless that parameter does.  Large parts are dealt in blocks of about ``BLOCK_BYTES``, so
+that many equal vectors, or a lopsided part, never meet in one task; queries go to every block
+of a part.  Products of matrices tell which rows can be nearest; these are measured exactly.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take
 no part, nor do rows without vec_id or of another length than the most common one (of equally
-common ones the longest).  Rows with equal vec_id count once, with their smallest vector.  Ties
-go to the smaller vec_id.  A query with fewer candidates gets them all; an empty table gives an
-empty result.
+common ones the longest).  Rows with equal vec_id, and repeated rows, count once, with their
+smallest vector.  Ties go to the smaller vec_id.  A query with fewer candidates gets them all;
+a sample of fewer than eight rows makes one part; an empty table gives an empty result.  Other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import constants, cut, map_rows
+from grainmill.llm.common import constants, cut, matrix, prepare
 
 QUERY = "op6_learned_partitions"
 ORACLE_SQL = None
 
-#: Rows that fit the partitions, rows of a part that is aimed at, most parts, rows of a block.
-SAMPLE, PART_ROWS, MOST_PARTS, BLOCK = 8192, 1024, 256, 1024
+#: Rows that fit the partitions at least and at most, rows of a part that is aimed at, sampled rows for each part.
+SAMPLE, MOST_SAMPLE, PART_ROWS, SAMPLED = 8192, 1 << 17, 1024, 32
+#: Bytes of vectors in a block of a part.
+BLOCK_BYTES = 8 << 20
 #: Recall on the sample that sets the number of parts a query goes to.
 RECALL = 0.96
 
@@ -128,11 +135,11 @@ class Router:
 
 def fit(x: np.ndarray, rows: int, k: int = 10, recall: float = RECALL) -> tuple[Router, int]:
     """A router for ``rows`` rows of which x is a sample, and to how many parts queries go."""
+    if len(x) < 8:
+        return Router(1), 1
     parts = 4
-    while parts * 2 * PART_ROWS <= rows and parts < MOST_PARTS and parts * 2 * 32 <= len(x):
+    while parts * 2 * PART_ROWS <= rows and parts * 2 * SAMPLED <= len(x):
         parts *= 2
-    if len(x) < 64:
-        return Router(1), 1
     k = min(k, len(x) - 1)
     graph = graph_of(x, k)
     part = balanced(x, graph, parts)
@@ -163,74 +170,78 @@ def usable(vectors: DataFrame) -> DataFrame:
     return own.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def best(table: np.ndarray, ids: np.ndarray, q: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vec_id, distance) of the k rows nearest to each row of q, itself left out."""
+    square, own = (table * table).sum(1), (q * q).sum(1)
+    apart = square[None, :] - 2 * (q @ table.T) + own[:, None]
+    apart[asked[:, None] == ids[None, :]] = np.inf
+    bar = np.partition(apart, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+    slack = 1e-9 * (square.max() + own)  # far more than the products' rounding
+    out: list[tuple] = []
+    for i in range(len(q)):
+        near = np.flatnonzero((apart[i] <= bar[i] + slack[i]) & (apart[i] < np.inf))
+        exact = np.sqrt(((table[near] - q[i]) ** 2).sum(1))
+        order = np.lexsort((ids[near], exact))[:k]
+        out.append((np.full(len(order), asked[i]), ids[near[order]], exact[order]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest(
+    vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE, recall: float = RECALL, most_sample: int = MOST_SAMPLE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """For each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score of its k nearest found."""
+    spark = vectors.sparkSession
     own = cut(usable(vectors), "vectors")
     rows = own.count()
+    wanted = max(sample, min(most_sample, SAMPLED * rows // PART_ROWS))
     draw = F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 30))
-    some = own.where(draw < min(1.0, sample / max(1, rows)) * (1 << 30)).collect()
+    some = own.where(draw < min(1.0, wanted / max(1, rows)) * (1 << 30)).collect()
     some.sort()
     x = np.array([r[1] for r in some]) if some else np.zeros((0, 1))
     router, probes = fit(x, rows, k, recall)
-
-    def routed(found: Iterator[tuple]) -> Iterator[tuple]:
-        held: list[tuple] = []
-
-        def out() -> Iterator[tuple]:
-            ranks = router.ranked(np.array([r[1] for r in held]))
-            for (vec_id, vector), rank in zip(held, ranks, strict=True):
-                yield vec_id, vector, int(rank[0]), rank[:probes].tolist() if vec_id % every == 0 else None
-
-        for row in found:
-            held.append(row)
-            if len(held) == 1024:
-                yield from out()
-                held = []
-        if held:
-            yield from out()
-
-    placed = cut(map_rows(own, routed, "vec_id long, embedding array<double>, part int, ask array<int>", chunk=1024), "routed")
+    known = spark.sparkContext.broadcast(router)  # at most (dimensions + parts) * 128 numbers
+    prepare(spark)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ranks = known.value.ranked(matrix(part.column(1)))
+                asks = part.column(0).to_numpy() % every == 0
+                ask = pa.array([r.tolist() if a else None for r, a in zip(ranks[:, :probes].astype(np.int32), asks, strict=True)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ranks[:, 0].astype(np.int32)), ask], names=["vec_id", "embedding", "part", "ask"])
+
+    placed = cut(own.mapInArrow(routed, "vec_id long, embedding array<double>, part int, ask array<int>"), "routed")
     counts = {r[0]: r[1] for r in placed.groupBy("part").count().collect()}
-    blocks = [max(1, -(-counts.get(p, 0) // BLOCK)) for p in range(router.parts)]
+    block = max(1, block_bytes // (8 * max(1, x.shape[1])))
+    blocks = [max(1, -(-counts.get(p, 0) // block)) for p in range(router.parts)]
     many = F.element_at(constants(blocks), F.col("part") + 1)
     index = placed.select("part", F.pmod(F.xxhash64("vec_id"), many).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
     asked = placed.where("ask is not null").select(F.explode("ask").alias("part"), "vec_id", "embedding")
     asked = asked.select("part", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
-
-    def searched(found: Iterator[tuple]) -> Iterator[tuple]:
-        at, ids, rows_, table, ask = None, [], [], None, []
-
-        def answers() -> Iterator[tuple]:
-            nonlocal table, ask
-            if ask and ids:
-                if table is None:
-                    table = np.array(rows_), np.array(ids)
-                q = np.array([v for _, v in ask])
-                apart = np.sqrt(((q[:, None, :] - table[0][None, :, :]) ** 2).sum(2))
-                for (query, _), d in zip(ask, apart, strict=True):
-                    d[table[1] == query] = np.inf
-                    bar = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                    near = np.flatnonzero((d <= bar) & (d < np.inf))
-                    near = near[np.lexsort((table[1][near], d[near]))][:k]
-                    yield from ((query, int(table[1][i]), float(d[i])) for i in near)
-            ask = []
-
-        for part, block, kind, vec_id, vector in found:
-            if (part, block) != at:
-                yield from answers()
-                at, ids, rows_, table = (part, block), [], [], None
-            if kind == 0:
-                ids.append(vec_id)
-                rows_.append(vector)
-            else:
-                ask.append((vec_id, vector))
-                if len(ask) == 16:
-                    yield from answers()
-        yield from answers()
-
-    n = max(own.sparkSession.sparkContext.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, table, ids = None, [], []
+        for batch in batches:
+            part, place, kind, vec_ids = (batch.column(i).to_numpy() for i in range(4))
+            vectors_ = matrix(batch.column(4))
+            starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (place[1:] != place[:-1]) | (kind[1:] != kind[:-1])])
+            for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):
+                if (part[a], place[a]) != at:
+                    at, table, ids = (part[a], place[a]), [], []
+                if kind[a] == 0:
+                    table.append(vectors_[a:b])
+                    ids.append(vec_ids[a:b])
+                elif ids:
+                    table, ids = [np.concatenate(table)], [np.concatenate(ids)]
+                    for c in range(a, b, 64):
+                        d = min(b, c + 64)
+                        yield pa.RecordBatch.from_arrays([pa.array(y) for y in best(table[0], ids[0], vectors_[c:d], vec_ids[c:d], k)], schema=schema)
+
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = index.union(asked).repartition(n, "part", "block").sortWithinPartitions("part", "block", "kind", "vec_id")
-    found = map_rows(met, searched, "query_id long, vec_id long, score double", chunk=4096)
+    found = met.mapInArrow(searched, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -6,15 +6,18 @@ Maximal runs of token characters, less the base patterns' spans, are cut at ``=`
 inferred as the smallest alphabet that holds all its characters.  Three tests ask
 whether its symbols look drawn uniformly from that alphabet: chi-squared uniformity,
 Wald-Wolfowitz runs about the middle of the alphabet, and lag-one serial correlation;
-Fisher's method joins them.  Those that pass carry an e-value, the likelihood ratio of
-uniform symbols against a model of ordinary wording (letter frequencies, few changes of
-character class).  The ratio's mean is at most 1 for ordinary tokens, so the weighted
-e-BH procedure over a document's candidates holds the expected share of false
-discoveries at ``fdr`` whatever their dependence; longer tokens weigh more and earn
+Fisher's method joins them.  A piece carries an e-value: the likelihood ratio of uniform
+symbols against a model of ordinary wording (letter frequencies, few changes of character
+class), times a factor of at most 1 that falls steeply with the tests' joint p-value once it is
+below ``UNIFORM_LEVEL``.  The ratio's mean is at most 1 for ordinary tokens, and so is the
+product's, so the weighted e-BH procedure over a document's candidates holds the expected share
+of false discoveries at ``fdr`` whatever their dependence; longer tokens weigh more and earn
 more evidence.
 
-Defined cases: null text counts as empty and has no spans; empty tables give empty
-results; repeated rows are scanned each on its own; other columns are ignored.
+Defined cases: null text counts as empty and has no spans; texts of any length are scanned
+whole; empty tables give empty results; repeated rows and rows with equal doc_id are scanned
+each on its own; spans of one start are listed by kind; other columns, whatever their names,
+are ignored.
 Positions are code points, ends exclusive, over the whole text.
 """
 
@@ -37,8 +40,9 @@ ORACLE_SQL = None
 #: Kinds of spans in the order in which they are listed at the same start.
 KINDS = ("assign", "access", "hex", "random")
 
-#: Share of false discoveries that the battery may expect, and the level at which it calls symbols not uniform.
-FDR, UNIFORM_LEVEL = 1e-6, 1e-3
+#: Share of false discoveries that the battery may expect; the joint p-value under which symbols that are not uniform
+#: lose evidence, and the power of their ratio by which they do.
+FDR, UNIFORM_LEVEL, UNIFORM_POWER = 1e-6, 0.02, 6
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Pieces of a run; of one that no alphabet holds, by each pair of signs and by all.
@@ -128,13 +132,16 @@ def evidence(token: str, name: str) -> float:
     return -math.log2(len(ALPHABETS[name])) * len(token) - wording
 
 
+def e_bits(token: str) -> float:
+    """Logarithm of a token's e-value: evidence, less what the battery takes."""
+    if (name := encoding(token)) is None:
+        return -math.inf
+    return evidence(token, name) + UNIFORM_POWER * min(0.0, math.log2(max(fisher(battery(token, name)), 1e-300) / UNIFORM_LEVEL))
+
+
 def discoveries(tokens: list[str], fdr: float = FDR) -> list[bool]:
-    """Which tokens of one document are random: battery, then weighted e-BH with weights by length."""
-    bits = []
-    for token in tokens:
-        name = encoding(token)
-        passes = name is not None and fisher(battery(token, name)) >= UNIFORM_LEVEL
-        bits.append(evidence(token, name) if passes else -math.inf)
+    """Which tokens of one document are random: weighted e-BH with weights by length."""
+    bits = list(map(e_bits, tokens))
     if not tokens:
         return []
     mean = sum(map(len, tokens)) / len(tokens)

@@ -120,6 +120,22 @@ def test_neighbours(spark):
     assert [v for v, _ in got[0].values()] == list(range(4000, 4010))  # ties go to smaller ids
 
 
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 40)
+    monkeypatch.setattr(neighbours, "SAMPLED", 16)
+    draw = np.random.RandomState(3)
+    x = np.repeat(draw.randn(60, 8) * 6, 100, axis=0) + draw.randn(6000, 8)
+    assert neighbours.fit(x[::4], 6000)[0].parts == 64  # as many as the sample allows
+    assert neighbours.fit(x, 6000)[0].parts == 128
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for sample, block_bytes in ((500, 1 << 20), (10**6, 900)):  # blocks of fourteen rows
+        got: dict = {}
+        for r in neighbours.nearest(df, sample=sample, block_bytes=block_bytes).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        expected = dict(brute(list(enumerate(x.tolist())), 10))
+        assert sum(len(set(got[q]) & {i for i, _ in near}) for q, near in expected.items()) >= 0.9 * 10 * len(expected)
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [5.0, 5.0]), (100, [1.0, 0.5])], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df).collect()

@@ -55,7 +55,7 @@ def test_battery_finds_random_tokens_and_spares_words():
 
 def test_level_follows_the_number_of_candidates():
     token, word = "q7Zk2Xv9Lp4Wt8Rb3Nj6", "thattionoforanderingsh"
-    level = 2 ** (4 - secrets.evidence(token, secrets.encoding(token)))
+    level = 2 ** (4 - secrets.e_bits(token))
     assert secrets.discoveries([token], level) == [True]
     assert secrets.discoveries([token, *[word] * 1000], level)[0] is False
     assert secrets.discoveries([token] * 1000, level) == [True] * 1000  # many discoveries bear a lower bar each
@@ -81,3 +81,27 @@ def test_random_parts_of_longer_runs():
             found += any(k == "random" and a <= at and b >= at + 40 for k, a, b in secrets.scan(text))
         assert found >= 45, form
     assert secrets.scan("AN_ORDINARY_SETTING_NAME=an_ordinary_setting_value some-path/to_the/ordinary-file_of_names") == []
+
+
+def test_most_secrets_are_found_in_each_context():
+    draw = random.Random(12)
+    for form in ("we saw {} here", "key={}", "https://host.example/path?sig={}&x=1"):
+        found = 0
+        for _ in range(200):
+            token = base64.b64encode(bytes(draw.randrange(256) for _ in range(30))).decode()
+            text = form.format(token)
+            at = text.index(token)
+            found += any(k == "random" and a <= at + 2 and b >= at + 38 for k, a, b in secrets.scan(text))
+        assert found >= 190, form
+
+
+def test_the_battery_decides():
+    draw = random.Random(13)
+    signs = secrets.ALPHABETS["base62"]
+    tokens = ["".join(draw.choice(signs) for _ in range(40)) for _ in range(100)]
+    assert sum(secrets.discoveries([t])[0] for t in tokens) >= 95
+    for made in (lambda t: "".join(sorted(t)), lambda t: t[:8] * 5, lambda t: "".join(a + b for a, b in zip(t[:20], t[:20], strict=True))):
+        changed = [made(t) for t in tokens]  # sorted, repeated and doubled symbols fail serial correlation, runs or uniformity
+        assert sum(secrets.discoveries([t])[0] for t in changed) <= 5
+    tails = [secrets.fisher(secrets.battery(t, secrets.encoding(t))) for t in tokens]
+    assert 0.3 < sum(tails) / len(tails) < 0.7  # about uniform for uniform symbols
