@@ -13,7 +13,10 @@ and ``fit_grams`` n-grams of each language reach the driver.  lang, source and d
 never inputs of a prediction.
 
 Defined cases: ``und`` and score 0 for null texts, texts without a letter, and where nothing
-could be learned; ties go to the language with more learned documents, then by name.
+could be learned; texts of any length are counted piece by piece; ties go to the language with
+more learned documents, then by name; repeated rows and rows with equal doc_id are predicted
+each on its own (and learned from as often as they are drawn); an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ ORACLE_SQL = None
 LENGTHS, HASHES = (3, 4), 3
 #: An n-gram is a language's own if the share of documents that have it is this part of the largest share, at least.
 OWN = 0.2
+#: Characters of a text that are counted at a time.
+PIECE = 1 << 16
 _LETTER: list[np.ndarray] = []
 
 
@@ -47,8 +52,17 @@ def letters_of(text: str) -> np.ndarray:
     return codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]
 
 
+def pieces_of(text: str) -> Iterator[str]:
+    """The text in pieces that end before a blank: no n-gram spans a cut."""
+    at = 0
+    while len(text) - at > PIECE and (end := text.find(" ", at + PIECE)) >= 0:
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def grams_of(text: str) -> np.ndarray:
-    """Hashes of the text's n-grams, repeats included; those with a blank inside are left out."""
+    """Hashes of the n-grams of a piece, repeats included; those with a blank inside are left out."""
     codes = letters_of(text)
     found = []
     for n in LENGTHS:
@@ -109,8 +123,12 @@ class Filter:
         """(language, score): the best corrected count against the next one's."""
         if not self.languages or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
-        grams = grams_of(text)
-        right = np.maximum(self.counts(grams) - len(grams) * self.chance, 0) / (1 - self.chance)
+        total, counts = 0, np.zeros(len(self.languages))
+        for piece in pieces_of(text):
+            grams = grams_of(piece)
+            total += len(grams)
+            counts += self.counts(grams)
+        right = np.maximum(counts - total * self.chance, 0) / (1 - self.chance)
         best = int(right.argmax())
         if right[best] <= 0:
             return self.languages[best], 0.0
@@ -134,7 +152,8 @@ def fit(docs: DataFrame, fit_rows: int = 1500, fit_grams: int = 20_000) -> Filte
     def counted(rows: Iterator[tuple]) -> Iterator[tuple]:
         held: Counter = Counter()
         for lang, text in rows:
-            held.update((lang, g) for g in np.unique(grams_of(text)).view(np.int64).tolist())
+            own = np.unique(np.concatenate([np.unique(grams_of(piece)) for piece in pieces_of(text)]))
+            held.update((lang, g) for g in own.view(np.int64).tolist())
             if len(held) > 500_000:
                 yield from ((k, g, n) for (k, g), n in held.items())
                 held.clear()

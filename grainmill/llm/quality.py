@@ -12,9 +12,12 @@ Fitting takes a sample bounded by ``fit_rows`` documents of each label and
 document is scored over its whole text.
 
 Defined cases: null text counts as empty; an empty text gets the score of no evidence
-either way.  A document with several labels counts as bad if one of them is.  Where
-labels of one kind are missing, every score is the smoothed share of good labels (1 where
-there are none at all).  Rows with equal doc_id are scored each on its own.
+either way; texts of any length are compressed block by block.  A document with several labels
+(repeated rows of labels too) counts as bad if one of them is.  Where labels of one kind are
+missing, every score is the smoothed share of good labels (1 where there are none at all).  Rows
+with equal doc_id, and repeated rows, are scored each on its own (of texts that share a labelled
+id the least is learned from); an empty table gives an empty result; other columns of documents
+and of labels, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000, fit_blocks: in
     (three numbers each reach the driver).
     """
     known = (
-        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     )
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from grainmill.llm import blocks, langid, neighbours, quality
@@ -38,6 +40,46 @@ def test_languages(docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_grams(text):
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        for n in (3, 4):
+            yield from (f" {word} "[i : i + n] for i in range(len(word) + 3 - n))
+
+
+def test_predictions_equal_those_of_exact_sets(docs):
+    rows = docs.collect()
+    learned = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    sizes = Counter(r.lang for r in learned)
+    counts = {k: Counter() for k in sizes}
+    for r in learned:
+        counts[r.lang].update(set(plain_grams(r.text)))
+    most: dict = {}
+    for k, own in counts.items():
+        for g, n in own.items():
+            most[g] = max(most.get(g, 0), n / sizes[k])
+    sets = {k: {g for g, n in own.items() if n / sizes[k] >= langid.OWN * most[g]} for k, own in counts.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, fit_rows=10**6, fit_grams=10**6).collect()}
+    same = near = 0
+    for r in rows:
+        grams = list(plain_grams(r.text or ""))
+        by = sorted(((sum(g in own for g in grams), k) for k, own in sets.items()), reverse=True)
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id] == ("und", 0.0)
+            same, near = same + 1, near + 1
+            continue
+        same += got[r.doc_id][0] == by[0][1]
+        near += abs(got[r.doc_id][1] - by[0][0] / max(1, by[0][0] + by[1][0])) < 0.03
+    assert same >= 0.995 * len(rows) and near >= 0.97 * len(rows)
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = "Wörter und noch mehr Wörter, 12 davon ΟΔΟΣ don't " * 40
+    whole = sorted(langid.grams_of(text).tolist())
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert sorted(np.concatenate([langid.grams_of(p) for p in langid.pieces_of(text)]).tolist()) == whole
+    assert "".join(langid.pieces_of(text)) == text and len(list(langid.pieces_of("x" * 100))) == 1
+
+
 def test_odd_languages(odd_docs, odd_rows, no_docs):
     got = langid.identify(odd_docs).collect()
     assert len(got) == len(odd_rows) and langid.identify(no_docs).count() == 0
@@ -64,6 +106,37 @@ def test_quality(docs, labels):
     assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
 
 
+def test_scores_equal_sizes_computed_anew(docs, labels):
+    scorer = quality.fit(docs, labels, fit_rows=200)
+    got = {r.doc_id: r for r in quality.quality_scores(docs, labels, fit_rows=200).collect()}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        sizes = []
+        for known in (scorer.good, scorer.bad):
+            squeeze = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(known), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(squeeze.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)))
+        x, short = 10 * (sizes[1] - sizes[0]) / (len(data) + 32), 32 / (len(data) + 32)
+        z = scorer.weights[0] + scorer.weights[1] * x + scorer.weights[2] * short + scorer.weights[3] * x * short
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_scores_are_calibrated(docs, labels):
+    rows = quality.quality_scores(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where("held_out").collect()
+    score, truth = np.array([r.score for r in rows]), np.array([r.quality for r in rows])
+    assert np.mean((score - truth) ** 2) <= 0.05  # Brier
+    assert abs(score.mean() - truth.mean()) <= 0.05
+    for low, high in ((0, 0.5), (0.5, 1.01)):
+        at = (score >= low) & (score < high)
+        assert at.sum() < 10 or abs(score[at].mean() - truth[at].mean()) <= 0.1
+
+
+def test_more_fitted_rows_change_little(docs, labels):
+    few, many = (
+        {r.doc_id: r.predicted for r in quality.quality_scores(docs, labels, rows).collect()} for rows in (2000, 10**6)
+    )
+    assert np.mean([few[k] == many[k] for k in few]) >= 0.99
+
+
 def test_quality_learns_nothing_from_held_out_rows(docs, labels):
     flipped = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     one, two = (quality.fit(docs, own, fit_rows=100) for own in (labels, flipped))
@@ -71,7 +144,7 @@ def test_quality_learns_nothing_from_held_out_rows(docs, labels):
 
 
 def test_odd_quality(spark, odd_docs, odd_rows, no_docs, labels):
-    known = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] * 2 + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    known = spark.createDataFrame([(i, i % 2, 0, "x", 1.0) for i in range(60)] * 2 + [(None, 1, 0, "x", 1.0), (7, None, 0, "x", 1.0)], "doc_id long, quality int, toxic int, text string, curve double")
     got = quality.quality_scores(odd_docs, known).collect()
     assert len(got) == len(odd_rows) and all(0 <= r.score <= 1 for r in got)
     assert quality.quality_scores(no_docs, known).count() == 0

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -58,8 +59,23 @@ def test_run(spark):
     assert whole  # documents taken whole keep all their tokens
 
 
-@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
-def test_odd_rows(spark, odd_docs, no_docs, name):
-    stage = dict(corpus_pipeline.STAGES)[name]
-    assert stage(spark, odd_docs, FOLDER).count() > 0
-    assert stage(spark, no_docs, FOLDER).count() == 0
+def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
+    steps = dict(corpus_pipeline.STAGES)
+    got = {name: stage(spark, odd_docs, FOLDER) for name, stage in steps.items()}
+    for name, stage in steps.items():
+        assert stage(spark, no_docs, FOLDER).count() == 0
+        assert name == "tokens" or got[name].columns == COLUMNS
+    rows = sorted(map(repr, odd_rows))
+    good = [repr(tuple(r)) for r in got["quality"].collect()]
+    assert set(good) <= set(rows) and all(good.count(r) == rows.count(r) for r in set(good))  # repeated rows alike
+    kept = got["near_duplicates"].collect()
+    ids = [r.doc_id for r in kept]
+    assert ids.count(5) == 2 and ids.count(300) == 1 and 301 not in ids and 304 not in ids  # two texts of one id; null and empty texts
+    assert 100 in ids and not set(ids) & {*range(101, 140), *range(200, 240)}  # copies, exact and near ones
+    assert ids.count(None) == 1 and {305, 306} <= set(ids)  # a text that only a row without id has; long ones
+    clean = got["secrets"].collect()
+    assert len(clean) == len(odd_rows) and sum(r.text is None for r in clean) == sum(r[1] is None for r in odd_rows)
+    mixed = got["mix"].collect()
+    assert not any(r.text is None or not r.text.strip() for r in mixed) and all(r.n_chars == len(r.text) for r in mixed)
+    encoded = got["tokens"].collect()
+    assert len(encoded) == len(odd_rows) and all((r.n_tokens == 0) == (r.ids_sha256 == hashlib.sha256(b"").hexdigest()) for r in encoded)
