@@ -90,13 +90,18 @@ HOT_SHARE, HOT_LEAST = 1 / 4096, 64
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, rows: int, how: str = "inner", by: str | None = None) -> DataFrame:
     """Join of many rows of a key with its one row.  Keys of more than a 4096th of ``rows`` (the number of rows of
-    ``many``) are spread by salts: at most 4096 of them, so that list is broadcast."""
+    ``many``) are spread by salts: at most 4096 of them, so that list goes through the driver and is broadcast."""
     bar = max(HOT_LEAST, int(rows * HOT_SHARE) + 1)
-    hot = many.groupBy(F.col(key).alias("hot_key")).count().where(F.col("count") > bar).select("hot_key", F.ceil(F.col("count") / bar).cast("int").alias("salts"))
+    counts = many.groupBy(F.col(key).alias("hot_key")).count().where(F.col("count") > bar)
+    hot = counts.select("hot_key", F.ceil(F.col("count") / bar).cast("int").alias("salts"))
+    found = hot.collect()
+    if not found:
+        return many.join(one, key, how)
+    hot = F.broadcast(many.sparkSession.createDataFrame(found, hot.schema))
     others = [by] if by else [c for c in many.columns if c != key]
-    own = many.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    own = many.join(hot, F.col(key) == F.col("hot_key"), "left")
     own = own.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("salts")).cast("int"), F.lit(0))).drop("hot_key", "salts")
-    other = one.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    other = one.join(hot, F.col(key) == F.col("hot_key"), "left")
     other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("hot_key", "salts")
     return own.join(other, [key, "salt"], how).drop("salt")
 

@@ -20,9 +20,11 @@ each round; nodes with many edges are spread over tasks by salts.
 The pipeline's stage links texts by the similarity of their sets of shingles.  Texts whose
 fingerprints the Golay keys link are its first candidates.  Three bits lose pairs that are
 less alike, so an exact path finds the rest: in one order of all shingles, two sets of a
-similarity of ``t`` share one of their first n - ceil(t n) + 1 shingles; texts are compared
-with the first text of these keys, and what is in different components after that is paired
-key by key.  Every link, also those of the fingerprints, is decided by the two whole sets.
+similarity of ``t`` share one of their first n - ceil(t n) + 1 shingles.  In a few rounds some
+texts of each of these keys meet the others that they are not joined to; what is in different
+components after that is paired key by key.  A sketch of parities, which never differs in more
+bits than two sets in elements, spares most pairs that are too far apart.  Every link, also
+those of the fingerprints, is decided by the two whole sets.
 
 Defined cases: null text counts as empty; texts without words have fingerprint 0 and link
 like any other; texts may have any length (hashed piece by piece); rows with equal doc_id,
@@ -56,8 +58,12 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 JOINED = 500_000
 #: Rows of a key that one task holds: keys of more are dealt over blocks.
 HOLD = 1 << 16
-#: One text of so many tells which shingles are common, and how many of those at most go last in the order.
-SAMPLE, COMMON = 64, 100_000
+#: One fingerprint of so many tells which keys are hot.
+SAMPLE = 64
+#: One text of so many tells which shingles are common: those that this many of them have; so many at most count.
+COMMON_SAMPLE, COMMON_TEXTS, COMMON = 8, 2, 250_000
+#: Bits of a set's parity sketch; how many rows of a key meet all others, round by round.
+SKETCH, CENTRES = 512, (4, 64)
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -354,10 +360,15 @@ def least_of(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def first_keys(own: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """First shingles of a set, of which two sets so similar share one.  The order is by hash, ``common`` ones last."""
-    late = np.isin(own, common) if len(common) else np.zeros(len(own), bool)
-    return np.r_[own[~late], own[late]][: len(own) - least_of(len(own), similarity) + 1]
+def first_keys(own: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """First shingles of a set, of which two sets so similar share one.  The order is by hash, ``common`` ones
+    (sorted, and how often each was found) last, the more frequent the later."""
+    keys, counts = common
+    often = np.zeros(len(own), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        often = np.where(keys[at] == own, counts[at], 0)
+    return own[np.lexsort((own, often))][: len(own) - least_of(len(own), similarity) + 1]
 
 
 def set_print(own: np.ndarray) -> int:
@@ -369,6 +380,16 @@ def set_print(own: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<i8")[0])
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the counts of hashes by their last bits: sketches of two sets differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view(np.uint64)
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    """Sketches of a batch, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH // 64)
+
+
 KEY_SCHEMA = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("c", pa.int64())])
 
@@ -413,20 +434,28 @@ def set_links(texts: DataFrame, words: int, similarity: float, hold: int = HOLD)
             yield node, shingles(text, words).view(np.int64).tolist()
 
     # frequent shingles of a sample go last in the order: any order finds all pairs, this one in shorter runs
-    some = map_rows(texts.where(F.pmod("node", F.lit(SAMPLE)) == 0), sets, "node long, own array<long>", chunk=16)
-    often = some.select(F.explode("own").alias("key")).groupBy("key").count().where(F.col("count") >= 8)
-    found = [r.key for r in often.orderBy(F.desc("count"), "key").limit(COMMON).collect()]
-    common = spark.sparkContext.broadcast(np.sort(np.array(found, np.int64).view(np.uint64)))
+    def counted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(batch.column(0)[at].as_py(), words).view(np.int64))], names=["key"])
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(COMMON_SAMPLE)) == 0).select("text").mapInArrow(counted_sets, "key long")
+    often = some.groupBy("key").count().where(F.col("count") >= COMMON_TEXTS).orderBy(F.desc("count"), "key").limit(COMMON)
+    found = often.toArrow()
+    keys_, counts_ = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(keys_)
+    common = spark.sparkContext.broadcast((keys_[order], counts_[order]))  # 4 MB at most
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The fingerprint of each text (n is 0), and its first shingles."""
+        """The fingerprint and sketch of each text (n is 0), and its first shingles."""
+        schema = KEY_SCHEMA.append(pa.field("bits", pa.binary()))
         for batch in batches:
             for at in range(batch.num_rows):
                 own = shingles(batch.column(1)[at].as_py(), words)
                 keys = np.r_[set_print(own), first_keys(own, similarity, common.value).view(np.int64)]
-                n = np.full(len(keys), len(own), np.int32)
+                n, bits = np.full(len(keys), len(own), np.int32), pa.array([sketch(own).tobytes(), *[None] * (len(keys) - 1)], pa.binary())
                 n[0] = 0
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, np.full(len(keys), batch.column(0)[at].as_py(), np.int64), n)], schema=KEY_SCHEMA)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (keys, np.full(len(keys), batch.column(0)[at].as_py(), np.int64), n)), bits], schema=schema)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose key is there twice."""
@@ -444,18 +473,31 @@ def set_links(texts: DataFrame, words: int, similarity: float, hold: int = HOLD)
         if again:
             yield pa.RecordBatch.from_arrays([pa.array(r) for r in rest], schema=KEY_SCHEMA)
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of the first row of a run and each other."""
-        first = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32)]
+    def alike(n: np.ndarray, root: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs can be as similar: by their sizes, and by the elements in which they differ at least."""
+        kept = np.flatnonzero((root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9))
+        i, j = i[kept], j[kept]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        return kept[apart <= (n[i].astype(np.int64) + n[j]) * (1 - similarity) / (1 + similarity) + 1e-6]
+
+    def stars(batches: Iterator[pa.RecordBatch], centres: int) -> Iterator[pa.RecordBatch]:
+        """Pairs of the first rows of a run and all after them that are not joined to them."""
+        first = [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.int64)] + [np.empty((0, SKETCH // 64), np.uint64)]
         for batch in batches:
-            key, block, node, n = (np.concatenate((r, c.to_numpy())) for r, c in zip(first, batch.columns, strict=True))
-            if not len(key):
-                continue
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-            at = np.repeat(starts, np.diff(np.r_[starts, len(key)]))
-            first = [x[at[-1:]] for x in (key, block, node, n)]
-            found = (node != node[at]) & (np.minimum(n, n[at]) >= similarity * np.maximum(n, n[at]) - 1e-9)
-            yield from packed_pairs(node[at[found]], node[found], n[at[found]], n[found])
+            new = [*(c.to_numpy() for c in batch.columns[:5]), sketches(batch.column(5))]
+            for at in range(0, batch.num_rows, 1 << 14):
+                key, block, node, n, root, bits = (np.concatenate((r, c[at : at + (1 << 14)])) for r, c in zip(first, new, strict=True))
+                starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+                own = np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+                for c in range(centres):
+                    j = np.flatnonzero(np.arange(len(key)) > own + c)
+                    if not len(j):
+                        break
+                    i = own[j] + c
+                    kept = alike(n, root, bits, i, j)
+                    i, j = i[kept], j[kept]
+                    yield from packed_pairs(node[i], node[j], n[i], n[j])
+                first = [x[starts[-1] :][:centres] for x in (key, block, node, n, root, bits)]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All pairs of a run that are not joined, some rows against the run at a time; they leave counted."""
@@ -466,25 +508,27 @@ def set_links(texts: DataFrame, words: int, similarity: float, hold: int = HOLD)
                 yield from packed_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held.clear()
 
-        def of(cell: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def of(cell: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
             if (root == root[0]).all():
                 return
             within = cell[0] >> 32 == cell[0] & 0xFFFFFFFF  # one block with itself, else two with each other
             step = max(1, (1 << 18) // len(node))
             for at in range(0, len(node), step):
                 x, y = slice(at, at + step), slice(at, None)
-                low, high = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
-                good = (root[x, None] != root[None, y]) & (low >= similarity * high - 1e-9)
+                good = root[x, None] != root[None, y]
                 i, j = np.nonzero(good if within else good & (side[x, None] != side[None, y]))
                 i, j = i[i < j] + at, j[i < j] + at
+                kept = alike(n, root, bits, i, j)
+                i, j = i[kept], j[kept]
                 if len(i):
                     held.append([node[i], node[j], n[i], n[j]])
                     if sum(len(h[0]) for h in held) > 1 << 18:
                         yield from given()
 
-        rest = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int32, np.int64)]
+        rest = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int32, np.int64)] + [np.empty((0, SKETCH // 64), np.uint64)]
         for batch in batches:
-            rows = [np.concatenate((r, c.to_numpy())) for r, c in zip(rest, batch.columns, strict=True)]
+            new = [*(c.to_numpy() for c in batch.columns[:6]), sketches(batch.column(6))]
+            rows = [np.concatenate((r, c)) for r, c in zip(rest, new, strict=True)]
             if not len(rows[0]):
                 continue
             starts = np.flatnonzero(np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
@@ -515,23 +559,31 @@ def set_links(texts: DataFrame, words: int, similarity: float, hold: int = HOLD)
         same = F.size(F.array_intersect("one", "other"))
         return cut(both.where(same >= similarity * (F.size("one") + F.size("other") - same) - 1e-9).select("a", "b"), "links")
 
-    raw = cut(texts.mapInArrow(keyed, "key long, node long, n int"), "shingles")
-    alike = print_pairs(raw.where("n = 0").select("node", F.col("key").alias("fp")).distinct())
-    keys = cut(raw.where("n > 0").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(shared, "key long, node long, n int"), "keys")
+    raw = cut(texts.mapInArrow(keyed, "key long, node long, n int, bits binary"), "shingles")
+    nodes = cut(raw.where("n = 0").groupBy("node").agg(F.first("key").alias("fp"), F.first("bits").alias("bits")), "nodes")
+    near = print_pairs(nodes.select("node", "fp"))
+    keys = raw.where("n > 0").select("key", "node", "n").repartition(tasks, "key").sortWithinPartitions("key")
+    keys = cut(keys.mapInArrow(shared, "key long, node long, n int"), "keys")
     hot = cut(keys.groupBy("key").count().where(F.col("count") > hold).select("key", F.ceil(F.col("count") / hold).alias("blocks")), "hot")
     hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
     keys = keys.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     schema = "a long, b long, na int, nb int, c long"
-    dealt = keys.select("key", "block", "node", "n").repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "node")
-    found = verified(alike.union(counted(dealt.mapInArrow(stars, schema), 0.5)).distinct())
-    roots = cut(components(found), "roots")
-    left = spread_join(keys, roots, "node", keys.count(), how="left").withColumn("root", F.coalesce("root", "node"))
+    roots, found = None, None
+    for i, centres in enumerate(CENTRES):
+        known = nodes.select("node", "bits", F.col("node").alias("root")) if roots is None else nodes.select("node", "bits").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = keys.join(known, "node").select("key", "block", "node", "n", "root", "bits", F.xxhash64(F.lit(i), "node").alias("turn"))
+        dealt = own.repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "turn").drop("turn")
+        some = counted(dealt.mapInArrow(lambda batches, n=centres: stars(batches, n), schema), 0.5)
+        some = verified(some if found is not None else some.union(near).distinct())
+        roots = cut(components(some if roots is None else some.union(roots.toDF("a", "b"))), "roots")
+        found = some if found is None else found.union(some)
+    left = keys.join(nodes.select("node", "bits").join(roots, "node", "left"), "node").withColumn("root", F.coalesce("root", "node"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     left = left.withColumn("other", other).select(
         "key", (F.least("block", "other").cast("long") * (1 << 32) + F.greatest("block", "other")).alias("cell"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "n", "root",
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "n", "root", "bits",
     )
-    dealt = left.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "side", "node", "n", "root")
+    dealt = left.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "side", "node", "n", "root", "bits")
     return found.union(verified(counted(dealt.mapInArrow(pairs, schema), 1.0)))
 
 

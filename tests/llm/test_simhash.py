@@ -176,7 +176,8 @@ def test_first_keys_of_similar_sets_meet():
         a = np.unique(draw.randint(0, 400, n).astype(np.uint64))
         b = np.unique(np.r_[a[draw.rand(len(a)) < 0.9], draw.randint(0, 400, draw.randint(0, 6)).astype(np.uint64)])
         if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
-            for common in (np.empty(0, np.uint64), np.arange(0, 200, dtype=np.uint64)):
+            none, half = np.empty(0, np.uint64), np.arange(0, 200, dtype=np.uint64)
+            for common in ((none, np.empty(0, np.int64)), (half, (half * 7 % 5).astype(np.int64))):
                 assert len(np.intersect1d(simhash.first_keys(a, 0.8, common), simhash.first_keys(b, 0.8, common)))
 
 
