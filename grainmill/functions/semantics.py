@@ -39,11 +39,13 @@ def same_key(left: Column, left_type: T.DataType, right: Column, right_type: T.D
 
 
 def fit_bytes(c: Column, most: int) -> Column:
-    """Text cut to ``most`` bytes of UTF-8 at the end of a whole character.
+    """Text cut to ``most`` bytes of UTF-8 at the end of a whole character: of the bytes at most three, those of a
+    broken character, are dropped again."""
+    data = F.encode(c, "UTF-8")
 
-    Only texts that are too long are searched, and only the characters that can be left: every
-    character takes one byte at least, four at most.
-    """
-    lengths = F.sequence(F.lit(most // 4), F.lit(most))
-    cut = F.left(c, F.array_max(F.filter(lengths, lambda k: F.octet_length(F.left(c, k)) <= most)))
+    def inside(k: int) -> Column:
+        """Whether byte k goes on a character: its first hexadecimal digit is 8 to B."""
+        return F.substring(F.hex(F.substring(data, k + 1, 1)), 1, 1).isin("8", "9", "A", "B")
+
+    cut = F.coalesce(*[F.when(~inside(k), F.decode(F.substring(data, 1, k), "UTF-8")) for k in range(most, max(-1, most - 4), -1)])
     return F.when(F.octet_length(c) <= most, c).otherwise(cut)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """One row a key: that with the highest seq (the last write wins)."""
-    others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), seq).alias("row")).select(key, *[F.col(f"row.{c}").alias(c) for c in others])
+    """One row a key: that with the highest seq (the last write wins), and of equal ones that with the greatest values."""
+    others = [seq, *(c for c in rows.columns if c not in (key, seq))]
+    return rows.groupBy(key).agg(F.max(F.struct(*others)).alias("row")).select(key, *[F.col(f"row.{c}").alias(c) for c in rows.columns if c != key])
 
 
 class KeyIndex:

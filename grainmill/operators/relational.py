@@ -6,13 +6,15 @@ Catalyst pushes filters, prunes columns and picks join strategies from there.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import semantics
+from grainmill.session import shared_folder
 
 
 def scan(df: DataFrame, alias: str) -> DataFrame:
@@ -124,6 +126,19 @@ def order_by(df: DataFrame, keys: list[tuple[Column | str, bool]]) -> DataFrame:
     return df.orderBy(*[c.asc() if up else c.desc() for c, (_, up) in zip(columns, keys, strict=True)])
 
 
+def placed(df: DataFrame, keys: list[tuple[Column | str, bool]], name: str = "place") -> DataFrame:
+    """The sorted rows with their places, from 1 on, counted after the sort: rows are written in sorted order with their
+    place in their range, and the ranges' sizes (one row each) give the rest."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/grainmill/sorted-{uuid.uuid4().hex}"
+    order_by(df, keys).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    own = F.col("_before") + F.col("_at") - F.shiftleft("_range", 33) + 1
+    return rows.join(ranges, "_range").select(*[f"`{c}`" for c in df.columns], own.alias(name))
+
+
 def multimap(df: DataFrame, key: str, value: str) -> DataFrame:
     """All values of each key, in order: (key, values)."""
     return df.groupBy(F.col(key)).agg(F.sort_array(F.collect_list(value)).alias("values"))

@@ -51,10 +51,9 @@ def name_of(expr: object, alias: str | None) -> str:
     return alias or (expr.name.rpartition(".")[2] if isinstance(expr, Name) else expr.function if isinstance(expr, Call) else "?")
 
 
-def _sorted(df: DataFrame, query: Select, inner: DataFrame | None = None) -> DataFrame:
-    source = df if inner is None else inner
-    keys = [(e.name if isinstance(e, Name) else value(source, e), up) for e, up in query.order_by if not isinstance(e, Literal)]
-    return rel.order_by(source, keys) if keys else source
+def _sorted(df: DataFrame, order: list[tuple[object, bool]]) -> DataFrame:
+    keys = [(e.name if isinstance(e, Name) else value(df, e), up) for e, up in order if not isinstance(e, Literal)]
+    return rel.order_by(df, keys) if keys else df
 
 
 def planned(catalog: Catalog, query: Select) -> DataFrame:
@@ -64,15 +63,17 @@ def planned(catalog: Catalog, query: Select) -> DataFrame:
     if calls or query.group_by:
         return _grouped(df, query)
     if len(query.items) == 1 and isinstance(query.items[0][0], Star):
-        return _sorted(df, query)
+        return _sorted(df, query.order_by)
     aliases = {alias: e for e, alias in query.items if alias}
-    for i, (key, up) in enumerate(query.order_by):  # an alias may be sorted by where no column has its name
+    order = []
+    for key, up in query.order_by:  # an alias may be sorted by where no column has its name
         if isinstance(key, Name) and key.name in aliases:
             try:
                 rel.resolve(df, key.name)
             except ValueError:
-                query.order_by[i] = (aliases[key.name], up)
-    df = _sorted(df, query)
+                key = aliases[key.name]
+        order.append((key, up))
+    df = _sorted(df, order)
     items: list[tuple[Column, str]] = []
     for expr, alias in query.items:
         if isinstance(expr, Star):

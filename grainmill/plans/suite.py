@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import io
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.functions import semantics
 from grainmill.operators import index
 from grainmill.operators import relational as rel
 from grainmill.plans import compat
+from grainmill.plans.database import Database
 from grainmill.plans.grammar import parse
 from grainmill.plans.registry import register
+from grainmill.session import shared_folder
+from grainmill.shell import grid, run
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +78,8 @@ def scan_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("parallel_scan", "SELECT o_orderkey, o_custkey FROM orders")
 def parallel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan dealt over eight tasks."""
-    return _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(8)
+    """A scan by the files' splits, a task each: nothing is shuffled."""
+    return _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
 
 
 @register("scan_early_stop", "SELECT count(*) AS n FROM (SELECT * FROM customer LIMIT 5)")
@@ -201,20 +208,53 @@ def agg_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # sorts; the place of each row is a column, as comparisons ignore order
 
-def _placed(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+_SIZE_ORDER = [("p_size", False), ("p_partkey", True)]
 
 
 @register("sort_rank_probe", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rn FROM part")
 def sort_rank_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places under a sort by two keys; sizes are few, so that ranks follow from their counts."""
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_size")
-    before = part.groupBy("p_size").agg(F.count("*").alias("n"))
-    before = before.select("p_size", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("p_size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
-    return rel.order_by(part.join(before, "p_size").select("p_partkey", "p_size", (F.col("before") + within).alias("rn")), [("rn", True)])
+    """Places of rows, counted after the sort by two keys."""
+    return rel.placed(_read(spark, sf_dir, "part").select("p_partkey", "p_size"), _SIZE_ORDER, "rn")
+
+
+@register("sort_places", "SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_quantity, l_orderkey, l_linenumber) AS place FROM lineitem")
+def sort_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of rows, counted after the sort over ranges."""
+    df = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return rel.placed(df, [("l_quantity", True), ("l_orderkey", True), ("l_linenumber", True)])
+
+
+def _sql_places(name: str, text: str, oracle: str) -> None:
+    """Register an ordered statement; its rows as text with their places, as they come."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _database(spark, sf_dir).execute(text)
+        return _lines(spark, [" | ".join(row) for row in found.rows()])
+
+    query.__doc__ = text
+    register(name, oracle)(query)
+
+
+def _database(spark: SparkSession, sf_dir: str | None = None) -> Database:
+    """A database with the compatible results, over the driver's tables if a folder is given."""
+    found = Database(spark, compat=True)
+    if sf_dir is not None:
+        found.catalog = _Folder(spark, sf_dir)
+    return found
+
+
+def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(lines)), "line int, said string")
 
 
+_sql_places(
+    "sort_hidden_places", "SELECT s.s_name FROM supplier s WHERE s.s_nationkey < 6 ORDER BY s.s_nationkey DESC, s.s_suppkey",
+    "SELECT cast(row_number() OVER (ORDER BY s_nationkey DESC, s_suppkey) - 1 AS int) AS line, s_name AS said FROM supplier WHERE s_nationkey < 6",
+)
+_sql_places(
+    "sort_aggregate_places", "SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand",
+    "SELECT cast(row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS int) AS line, p_brand || ' | ' || count(*) AS said FROM part GROUP BY p_brand",
+)
 _sql("sort_hidden_column", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC")
 _sql("sort_after_aggregate", "SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand")
 _sql("sort_constant", "SELECT r_name FROM region ORDER BY 1", "SELECT r_name FROM region")
@@ -256,23 +296,97 @@ def varchar_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select("c_custkey", semantics.fit_bytes(F.col("c_name"), 12).alias("c_name"))
 
 
-@register("insert_rows", "SELECT 1 AS id, 'Alice' AS name UNION ALL SELECT 2, 'Bob'")
+def _fresh(name: str) -> str:
+    """A table name that no other run has: managed tables leave folders behind."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+@register("insert_rows", "SELECT 12 AS berth, 'Quay' AS kind UNION ALL SELECT 40, 'Møre' UNION ALL SELECT 7, 'Pier'")
 def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows given by value, as INSERT appends them."""
-    return spark.createDataFrame([(1, "Alice"), (2, "Bob")], "id int, name string")
+    """A table declared, two inserts (texts cut to five bytes), and its rows."""
+    db, name = _database(spark), _fresh("berths")
+    db.execute(f"CREATE TABLE {name} (berth INT, kind VARCHAR(5))")
+    db.execute(f"INSERT INTO {name} VALUES (12, 'Quay'), (40, 'Møreø')")
+    db.execute(f"INSERT INTO {name} VALUES (7, 'Pier')")
+    return db.execute(f"SELECT t.berth, t.kind FROM {name} t").frame
+
+
+@register("append_rows", "SELECT cast(s_suppkey AS int) AS k, substr(s_name, 1, 4) AS label FROM supplier")
+def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DataFrame appended to a declared table, in two parts."""
+    db, name = _database(spark), _fresh("labels")
+    db.execute(f"CREATE TABLE {name} (k INT, label VARCHAR(4))")
+    rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), F.col("s_name").alias("label"))
+    for part in (F.col("k") % 2 == 0, F.col("k") % 2 != 0):
+        db.catalog.append(name, rows.where(part))
+    return db.execute(f"SELECT g.k, g.label FROM {name} g").frame
+
+
+@register(
+    "statement_messages",
+    """SELECT * FROM (VALUES (0, 'Table ''docks'' created.'), (1, 'Inserted 1 row.'), (2, 'Inserted 2 rows.'), (3, '3 | East'), (4, '9 | West')) AS t(line, said)""",
+)
+def statement_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What statements say, and the rows that they leave."""
+    db, name = _database(spark), _fresh("docks")
+    said = [db.execute(sql).message.replace(name, "docks") for sql in (
+        f"CREATE TABLE {name} (dock INT, side VARCHAR(8));", f"INSERT INTO {name} VALUES (9, 'West')", f"insert into {name} values (3, 'East'), (1, '')",
+    )]
+    found = db.execute(f"SELECT dock, side FROM {name} WHERE side > '' -- named ones\nORDER BY dock;")
+    return _lines(spark, said + [" | ".join(row) for row in found.rows()])
 
 
 @register("result_text", "SELECT cast(n_nationkey AS varchar) AS n_nationkey, n_name, cast(n_regionkey AS varchar) AS n_regionkey FROM nation")
 def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells as text."""
-    df = _read(spark, sf_dir, "nation")
-    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    """Cells of a result as text, as they are printed."""
+    found = _database(spark, sf_dir).execute("SELECT n.n_nationkey, n.n_name, n.n_regionkey FROM nation n")
+    return spark.createDataFrame(list(found.rows()), ", ".join(f"{c} string" for c in found.columns))
 
 
-@register("explain_select")
+@register(
+    "result_grid",
+    """WITH w AS (SELECT greatest(8, max(length(r_name))) AS n FROM region), b AS (SELECT '+-----+' || repeat('-', cast(n + 2 AS int)) || '+' AS rule, n FROM w),
+    r AS (SELECT '| ' || rpad(cast(r_regionkey AS varchar), 3, ' ') || ' | ' || rpad(r_name, cast(n AS int), ' ') || ' |' AS t, row_number() OVER (ORDER BY r_regionkey) + 2 AS i FROM region, b)
+    SELECT cast(i AS int) AS line, t AS said FROM (SELECT 0 AS i, rule AS t FROM b UNION ALL SELECT 1, '| key | ' || rpad('the_name', cast(n AS int), ' ') || ' |' FROM b UNION ALL SELECT 2, rule FROM b
+    UNION ALL SELECT i, t FROM r UNION ALL SELECT (SELECT count(*) + 3 FROM region), rule FROM b UNION ALL SELECT (SELECT count(*) + 4 FROM region), (SELECT '(' || count(*) || ' rows)' FROM region))""",
+)
+def result_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shell's grid of a result."""
+    found = _database(spark, sf_dir).execute("SELECT r.r_regionkey AS key, r.r_name AS the_name FROM region r ORDER BY r.r_regionkey")
+    return _lines(spark, list(grid(found)))
+
+
+@register(
+    "shell_session",
+    """SELECT * FROM (VALUES (0, '+---+'), (1, '| n |'), (2, '+---+'), (3, '| 3 |'), (4, '+---+'), (5, '(1 row)'), (6, 'Error: UNRESOLVED_COLUMN: nothing'),
+    (7, '(0 rows)')) AS t(line, said)""",
+)
+def shell_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session at the shell: a statement over two lines with a text that looks like a comment, an error, no rows, the end."""
+    out = io.StringIO()
+    typed = "SELECT r_regionkey AS n FROM region -- all;\nWHERE r_regionkey = 3 AND r_name <> 'a--b;';\nSELECT nothing FROM region;\nSELECT r_name FROM region WHERE r_regionkey > 99;\n.quit\nSELECT 1;\n"
+    run(_database(spark, sf_dir), io.StringIO(typed), out)
+    lines = [re.sub(r"^(grain> |   \.\.\.> )+", "", line) for line in out.getvalue().split("\n")]
+    return _lines(spark, [line for line in lines if line and not re.fullmatch(r"[0-9.]+ s", line)])
+
+
+@register("index_built", "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey BETWEEN 30 AND 90 OR p_partkey = 7")
+def index_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built from keys in descending order, each written twice: the later write is found."""
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").withColumn("seq", F.lit(2)).orderBy(F.desc("p_partkey"))
+    earlier = part.withColumn("p_name", F.lit("overwritten")).withColumn("seq", F.lit(1))
+    folder = f"{shared_folder(spark)}/grainmill/index-{uuid.uuid4().hex}"
+    found = index.KeyIndex.build(earlier.union(part), "p_partkey", folder, seq="seq")
+    return found.range(30, 90).union(found.lookup(7)).union(found.lookup(-5)).drop("seq")
+
+
+@register(
+    "explain_select",
+    """SELECT * FROM (VALUES (0, 'Projection [p_name]'), (1, '  Sort [p_name DESC]'), (2, '    Filter [p_size > 25 AND NOT (p_brand = ''Brand#11'')]'),
+    (3, '      SeqScan part AS part')) AS t(line, plan)""",
+)
 def explain_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operators of a query, one row each."""
-    from grainmill.plans.explain import operators
-
-    made = parse("EXPLAIN SELECT p_name FROM part WHERE p_size > 25 ORDER BY p_name")
-    return spark.createDataFrame([(i, line) for i, line in enumerate(operators(made.select))], "line int, plan string")
+    found = _database(spark, sf_dir).execute("EXPLAIN SELECT p_name FROM part WHERE p_size > 25 AND NOT p_brand = 'Brand#11' ORDER BY p_name DESC")
+    lines = [row[0] for row in found.rows()]
+    return spark.createDataFrame(list(enumerate(lines[: lines.index("")])), "line int, plan string")

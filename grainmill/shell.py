@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import time
-from itertools import islice
+from collections.abc import Iterator
 from typing import TextIO
 
 from pyspark.errors import PySparkException
 
 from grainmill.plans.database import Database, Result
 
-#: Rows that are printed; the count says when there are more.
-SHOWN = 1000
 
+def grid(result: Result) -> Iterator[str]:
+    """Lines of a result as a grid with its number of rows; a message as it is.
 
-def grid(result: Result, shown: int = SHOWN) -> str:
-    """A result as a grid with its number of rows; a message as it is."""
+    All rows come, as a stream: they are read once for the widths and once more for the lines.
+    """
     if result.message:
-        return result.message
-    rows = list(islice(result.rows(), shown + 1))
-    if not rows:
-        return "(0 rows)"
-    more, rows = len(rows) > shown, rows[:shown]
-    widths = [max(map(len, column)) for column in zip(result.columns, *rows, strict=True)]
-    rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
-    lines = ["| " + " | ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)) + " |" for row in [result.columns, *rows]]
-    count = f"({shown}+ rows, the first {shown} shown)" if more else f"({len(rows)} row{'' if len(rows) == 1 else 's'})"
-    return "\n".join([rule, lines[0], rule, *lines[1:], rule, count])
+        yield result.message
+        return
+    n, widths = 0, list(map(len, result.columns))
+    for row in result.rows():
+        n += 1
+        widths = [max(w, len(cell)) for w, cell in zip(widths, row, strict=True)]
+    if n:
+        def line(cells: list[str]) -> str:
+            return "| " + " | ".join(cell.ljust(w) for cell, w in zip(cells, widths, strict=True)) + " |"
+
+        rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+        yield from (rule, line(result.columns), rule)
+        yield from map(line, result.rows())
+        yield rule
+    yield f"({n} row{'' if n == 1 else 's'})"
+
+
+def complete(text: str) -> bool:
+    """Whether a statement ends here: with ``;``, outside texts and comments."""
+    bare = re.sub(r"'[^']*'|--[^\n]*", "", text)
+    return "'" not in bare and bare.rstrip().endswith(";")
 
 
 def run(database: Database, read: TextIO = sys.stdin, write: TextIO = sys.stdout) -> None:
@@ -42,13 +54,14 @@ def run(database: Database, read: TextIO = sys.stdin, write: TextIO = sys.stdout
         if not held and not line.strip():
             continue
         held.append(line.rstrip("\n"))
-        if not line.split("--")[0].rstrip().endswith(";"):
+        if not complete("\n".join(held)):
             continue
         sql, held = "\n".join(held), []
         began = time.time()
         try:
-            text = grid(database.execute(sql))
-            write.write(f"{text}\n{time.time() - began:.2f} s\n")
+            for text in grid(database.execute(sql)):
+                write.write(f"{text}\n")
+            write.write(f"{time.time() - began:.2f} s\n")
         except (ValueError, TypeError, PySparkException) as e:
             write.write(f"Error: {str(e).splitlines()[0]}\n")
 

@@ -65,6 +65,28 @@ def test_fit_bytes(spark, text, n, expected):
     assert spark.createDataFrame([(text,)], "s string").select(semantics.fit_bytes(F.col("s"), n)).first()[0] == expected
 
 
+def test_fit_bytes_of_long_texts(spark):
+    text = "é漢😀a" * 8000
+    for n in (1, 2, 3, 1001, 1002, 1003, 1004, 65535):
+        expected = text.encode()[:n].decode("utf-8", "ignore")
+        assert spark.createDataFrame([(text,)], "s string").select(semantics.fit_bytes(F.col("s"), n)).first()[0] == expected
+
+
+def test_places_are_counted_after_the_sort(spark):
+    rows = [(i * 37 % 101, i) for i in range(500)]
+    got = rel.placed(spark.createDataFrame(rows, "a int, b int").repartition(7), [("a", False), ("b", True)]).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert sorted(r.place for r in got) == list(range(1, 501))
+
+
+def test_latest_of_equal_writes(spark):
+    from grainmill.operators.index import latest
+
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "c"), (1, 5, "b"), (1, 4, "z"), (2, None, "x")], "k int, seq int, v string")
+    for n in (1, 3):
+        assert sorted(tuple(r) for r in latest(df.repartition(n), "k", "seq").select("k", "v").collect()) == [(1, "c"), (2, "x")]
+
+
 def test_group_keys_do_not_run_together(spark):
     df = spark.createDataFrame([("a|", "b"), ("a", "|b")], "x string, y string")
     assert rel.aggregate(df, ["x", "y"], [rel.Aggregate("COUNT", None, "n")]).count() == 2
