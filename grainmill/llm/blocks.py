@@ -199,6 +199,19 @@ def _slot(word: str, size: int) -> int:
 
 
 _SLOTS: dict[tuple[str, int], int] = {}
+
+
+class _Slots(dict):
+    """Places of words; frequent ones are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        self[word] = found = _slot(word, WORDS)
+        return found
+
+
+_WORD_SLOTS = _Slots()
 _BITS = np.arange(max(TAGS, MARKS))
 
 
@@ -221,9 +234,12 @@ def vectors_of(found: list[Block]) -> np.ndarray:
         if b.last:
             row[TAGS + slot(b.last, TAGS)] = 1
         row[2 * TAGS : 2 * TAGS + MARKS] = b.marks >> _BITS[:MARKS] & 1
-        words = WORD.findall(b.text)
+        counts = [0] * WORDS
+        words = WORD.findall(b.text.lower())
         for word in words:
-            row[2 * TAGS + MARKS + slot(word.lower(), WORDS)] += 1 / len(words)
+            counts[_WORD_SLOTS[word]] += 1
+        if words:
+            row[2 * TAGS + MARKS : -MEASURES] = np.array(counts, np.float32) / len(words)
         n = len(b.text)
         stops = sum(map(b.text.count, ".!?;,"))
         row[-MEASURES:] = (np.log1p(n) / 6, b.linked, min(1, 20 * stops / n), n < 25, n > 120, b.text[-1] in ".!?:\"”»", min(8, b.depth / 8), 1)
