@@ -37,7 +37,7 @@ columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -64,6 +64,8 @@ SAMPLE = 64
 COMMON_SAMPLE, COMMON_TEXTS, COMMON = 8, 2, 250_000
 #: Bits of a set's parity sketch; how many rows of a key meet all others, round by round.
 SKETCH, CENTRES = 512, (4, 64)
+#: Ends of pairs that are broadcast to pick their texts (some 10 MB at most); the texts meet more of them in a shuffle.
+ENDS = 250_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -419,11 +421,16 @@ def print_pairs(prints: DataFrame) -> DataFrame:
     return same.union(found.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
 
 
-def set_links(texts: DataFrame, words: int, similarity: float, hold: int = HOLD) -> DataFrame:
+def set_links(
+    texts: DataFrame, words: int, similarity: float, hold: int = HOLD, ends_most: int = ENDS,
+    texts_of: Callable[[DataFrame, bool], DataFrame] | None = None,
+) -> DataFrame:
     """Links (a, b) that span the same components as all pairs of texts (node, text; equal nodes have equal
     texts) whose sets of shingles have that Jaccard similarity or more.  None is lost, and each link has it.
 
     A task holds at most about ``hold`` rows of a key: keys of more are dealt over blocks, and each two blocks meet.
+    ``texts_of`` gives the texts of a table of nodes, of which its second argument says whether they are few enough
+    (``ends_most``) to broadcast; it spares another run of the whole plan of ``texts`` where that is costly.
     """
     spark = texts.sparkSession
     prepare(spark)
@@ -552,8 +559,10 @@ def set_links(texts: DataFrame, words: int, similarity: float, hold: int = HOLD)
         """Those pairs whose sets are as similar."""
         edges = cut(edges, "pairs")
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        own = cut(map_rows(texts.join(ends, "node", "left_semi"), sets, "node long, own array<long>", chunk=16).dropDuplicates(["node"]), "sets")
         rows = edges.count()
+        few = 2 * rows <= ends_most
+        some = texts_of(ends, few) if texts_of else texts.join(F.broadcast(ends) if few else ends, "node", "left_semi")
+        own = cut(map_rows(some, sets, "node long, own array<long>", chunk=16).dropDuplicates(["node"]), "sets")
         both = spread_join(edges, own.select(F.col("node").alias("a"), F.col("own").alias("one")), "a", rows)
         both = spread_join(both, own.select(F.col("node").alias("b"), F.col("own").alias("other")), "b", rows, by="a")
         same = F.size(F.array_intersect("one", "other"))
@@ -587,25 +596,32 @@ def set_links(texts: DataFrame, words: int, similarity: float, hold: int = HOLD)
     return found.union(verified(counted(dealt.mapInArrow(pairs, schema), 1.0)))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, ends_most: int = ENDS) -> DataFrame:
     """One document of each component, unchanged: that with the smallest doc_id (of equal ids, by hash of the text).
 
     Texts of at least that similarity over shingles of ``words`` words are linked, and no others.  Null texts count
     as empty ones and link with these only; of rows without doc_id one stays if its whole component has none;
-    of rows that repeat with id and text one stays; an empty table gives an empty one.
+    of rows that repeat with id and text one stays; an empty table gives an empty one.  ``ends_most``: see set_links.
     """
     own = docs.select(*DOCUMENT_COLUMNS).withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = cut(own.select(F.col("doc_id").cast("long").alias("doc_id"), "h"), "rows")
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     classes = cut(rows.groupBy("h").agg(F.min(lead).alias("lead")), "classes")
 
-    def of(leads: DataFrame) -> DataFrame:
-        leads = leads.select("lead.doc_id", "lead.h").alias("leads")
+    def of(leads: DataFrame, few: bool = False) -> DataFrame:
+        leads = leads.select("lead.doc_id", "lead.h")
+        leads = (F.broadcast(leads) if few else leads).alias("leads")
         same = F.col("own.doc_id").cast("long").eqNullSafe(F.col("leads.doc_id")) & (F.col("own.h") == F.col("leads.h"))
         return own.alias("own").join(leads, same, "left_semi")
 
-    texts = of(classes).select(F.col("h").alias("node"), F.col("text").cast("string").alias("text"))
-    roots = components(set_links(texts, words, similarity)).withColumnRenamed("node", "h")
+    def texts(leads: DataFrame, few: bool = False) -> DataFrame:
+        return of(leads, few).select(F.col("h").alias("node"), F.col("text").cast("string").alias("text"))
+
+    def texts_of(nodes: DataFrame, few: bool) -> DataFrame:
+        nodes = nodes.withColumnRenamed("node", "h")
+        return texts(classes.join(F.broadcast(nodes) if few else nodes, "h", "left_semi"), few)
+
+    roots = components(set_links(texts(classes), words, similarity, ends_most=ends_most, texts_of=texts_of)).withColumnRenamed("node", "h")
     rooted = classes.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("lead").alias("lead"))
     kept = of(rooted)
     if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -108,6 +109,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_one_of_each_group_stays(spark, odd_docs, odd_rows, no_docs):
     kept = simhash.keep_one(odd_docs).collect()
+    assert Counter(simhash.keep_one(odd_docs, ends_most=0).collect()) == Counter(kept)  # texts picked by a shuffle
     prints = [plain_print(r[1]) for r in odd_rows]
     assert simhash.keep_one(no_docs).count() == 0
     groups = plain_groups(prints, list(range(len(prints))))
@@ -154,7 +156,7 @@ def test_sets_link_exactly_from_the_similarity_on(spark):
     kept = sorted(r.doc_id for r in simhash.keep_one(df.repartition(3)).collect())
     assert kept == [i for i in range(len(texts)) if root(i) == i]
     own = df.select(F.col("doc_id").alias("node"), "text").repartition(3)  # keys of more than two rows are dealt over blocks
-    roots = {r.node: r.root for r in simhash.components(simhash.set_links(own, 5, 0.8, hold=2)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.set_links(own, 5, 0.8, hold=2, ends_most=0)).collect()}
     assert [roots.get(i, i) for i in range(len(texts))] == [root(i) for i in range(len(texts))]
 
 
