@@ -436,9 +436,12 @@ def set_links(
     prepare(spark)
     tasks = _tasks(spark)
 
-    def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for node, text in rows:
-            yield node, shingles(text, words).view(np.int64).tolist()
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own = shingles(batch.column(1)[at].as_py(), words).view(np.int64)
+                one = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), one], names=["node", "own"])
 
     # frequent shingles of a sample go last in the order: any order finds all pairs, this one in shorter runs
     def counted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -562,7 +565,7 @@ def set_links(
         rows = edges.count()
         few = 2 * rows <= ends_most
         some = texts_of(ends, few) if texts_of else texts.join(F.broadcast(ends) if few else ends, "node", "left_semi")
-        own = cut(map_rows(some, sets, "node long, own array<long>", chunk=16).dropDuplicates(["node"]), "sets")
+        own = cut(some.select("node", "text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]), "sets")
         both = spread_join(edges, own.select(F.col("node").alias("a"), F.col("own").alias("one")), "a", rows)
         both = spread_join(both, own.select(F.col("node").alias("b"), F.col("own").alias("other")), "b", rows, by="a")
         same = F.size(F.array_intersect("one", "other"))
