@@ -38,7 +38,7 @@ ORACLE_SQL = None
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Pieces kept with their tokens in a worker; then the cache starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 #: Characters that are cut into pieces at a time, and bytes from which a piece goes through the window.
 CHUNK_CHARS, LONG_BYTES = 1 << 16, 256
 #: Bytes up to which pieces are merged in step.
