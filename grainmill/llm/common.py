@@ -94,10 +94,10 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, rows: int, how: str =
     bar = max(HOT_LEAST, int(rows * HOT_SHARE) + 1)
     counts = many.groupBy(F.col(key).alias("hot_key")).count().where(F.col("count") > bar)
     hot = counts.select("hot_key", F.ceil(F.col("count") / bar).cast("int").alias("salts"))
-    found = hot.collect()
-    if not found:
+    found = hot.toArrow()
+    if not found.num_rows:
         return many.join(one, key, how)
-    hot = F.broadcast(many.sparkSession.createDataFrame(found, hot.schema))
+    hot = F.broadcast(many.sparkSession.createDataFrame(found))  # from Arrow: rows would start Python workers of another kind
     others = [by] if by else [c for c in many.columns if c != key]
     own = many.join(hot, F.col(key) == F.col("hot_key"), "left")
     own = own.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("salts")).cast("int"), F.lit(0))).drop("hot_key", "salts")

@@ -15,7 +15,8 @@ group of near copies yields a tree rather than its pairs.  A run is read as a st
 its rows by nearest codeword are held, and where a key has very many of these they are dealt
 over blocks, each of which meets all others of the key.  Trees grow into components by
 alternating large and small stars until nothing changes, written to the shared folder after
-each round; nodes with many edges are spread over tasks by salts.
+each round; nodes with many edges are spread over tasks by salts.  The pipeline's stage joins
+its links in the driver where they are few, counted first.
 
 The pipeline's stage links texts by the similarity of their sets of shingles.  Texts whose
 fingerprints the Golay keys link are its first candidates.  Three bits lose pairs that are
@@ -66,6 +67,8 @@ COMMON_SAMPLE, COMMON_TEXTS, COMMON = 8, 2, 250_000
 SKETCH, CENTRES = 512, (4, 64)
 #: Ends of pairs that are broadcast to pick their texts (some 10 MB at most); the texts meet more of them in a shuffle.
 ENDS = 250_000
+#: Distinct links that the pipeline's stage joins in the driver (4 MB at most); more go through the rounds of stars.
+EDGES = 250_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -309,11 +312,29 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with a smaller root: alternating large and small stars until nothing changes."""
+def least_joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges that reaches a smaller one, and the smallest that it reaches."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j, above = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (apart := above[i] != above[j]).any():
+        x, y = above[i[apart]], above[j[apart]]  # roots
+        np.minimum.at(above, np.maximum(x, y), np.minimum(x, y))
+        while ((up := above[above]) != above).any():
+            above = up
+    lower = above != np.arange(len(nodes))
+    return nodes[lower], nodes[above[lower]]
+
+
+def components(edges: DataFrame, few: int = 0) -> DataFrame:
+    """(node, root) of every node with a smaller root: alternating large and small stars until nothing changes.
+    Up to ``few`` distinct edges, counted first, are joined in the driver instead, which spares the rounds."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = now.agg(state).first()[0]
+    if 0 < before[0] <= few:
+        held = now.toArrow()
+        node, root = least_joined(held.column("u").to_numpy(), held.column("v").to_numpy())
+        return now.sparkSession.createDataFrame(pa.table({"node": node, "root": root}))
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -422,7 +443,7 @@ def print_pairs(prints: DataFrame) -> DataFrame:
 
 
 def set_links(
-    texts: DataFrame, words: int, similarity: float, hold: int = HOLD, ends_most: int = ENDS,
+    texts: DataFrame, words: int, similarity: float, hold: int = HOLD, ends_most: int = ENDS, edges_most: int = EDGES,
     texts_of: Callable[[DataFrame, bool], DataFrame] | None = None,
 ) -> DataFrame:
     """Links (a, b) that span the same components as all pairs of texts (node, text; equal nodes have equal
@@ -431,6 +452,7 @@ def set_links(
     A task holds at most about ``hold`` rows of a key: keys of more are dealt over blocks, and each two blocks meet.
     ``texts_of`` gives the texts of a table of nodes, of which its second argument says whether they are few enough
     (``ends_most``) to broadcast; it spares another run of the whole plan of ``texts`` where that is costly.
+    ``edges_most``: see components.
     """
     spark = texts.sparkSession
     prepare(spark)
@@ -587,7 +609,7 @@ def set_links(
         dealt = own.repartition(tasks, "key", "block").sortWithinPartitions("key", "block", "turn").drop("turn")
         some = counted(dealt.mapInArrow(lambda batches, n=centres: stars(batches, n), schema), 0.5)
         some = verified(some if found is not None else some.union(near).distinct())
-        roots = cut(components(some if roots is None else some.union(roots.toDF("a", "b"))), "roots")
+        roots = cut(components(some if roots is None else some.union(roots.toDF("a", "b")), edges_most), "roots")
         found = some if found is None else found.union(some)
     left = keys.join(nodes.select("node", "bits").join(roots, "node", "left"), "node").withColumn("root", F.coalesce("root", "node"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
@@ -599,12 +621,12 @@ def set_links(
     return found.union(verified(counted(dealt.mapInArrow(pairs, schema), 1.0)))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, ends_most: int = ENDS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, ends_most: int = ENDS, edges_most: int = EDGES) -> DataFrame:
     """One document of each component, unchanged: that with the smallest doc_id (of equal ids, by hash of the text).
 
     Texts of at least that similarity over shingles of ``words`` words are linked, and no others.  Null texts count
     as empty ones and link with these only; of rows without doc_id one stays if its whole component has none;
-    of rows that repeat with id and text one stays; an empty table gives an empty one.  ``ends_most``: see set_links.
+    of rows that repeat with id and text one stays; an empty table gives an empty one.  ``ends_most``, ``edges_most``: see set_links.
     """
     own = docs.select(*DOCUMENT_COLUMNS).withColumn("h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = cut(own.select(F.col("doc_id").cast("long").alias("doc_id"), "h"), "rows")
@@ -624,7 +646,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, ends_most
         nodes = nodes.withColumnRenamed("node", "h")
         return texts(classes.join(F.broadcast(nodes) if few else nodes, "h", "left_semi"), few)
 
-    roots = components(set_links(texts(classes), words, similarity, ends_most=ends_most, texts_of=texts_of)).withColumnRenamed("node", "h")
+    found = set_links(texts(classes), words, similarity, ends_most=ends_most, edges_most=edges_most, texts_of=texts_of)
+    roots = components(found, edges_most).withColumnRenamed("node", "h")
     rooted = classes.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("lead").alias("lead"))
     kept = of(rooted)
     if not rows.groupBy("doc_id", "h").count().where("count > 1").isEmpty():

@@ -107,6 +107,38 @@ def test_components_of_chains_and_stars(spark):
     assert 3 not in got and -5 not in got
 
 
+def test_few_links_are_joined_without_rounds(spark, odd_docs, monkeypatch):
+    written = []
+    plain_cut = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, name: written.append(name) or plain_cut(df, name))
+    draw = random.Random(10)
+    edges = [(draw.randint(-300, 300), draw.randint(-300, 300)) for _ in range(250)]
+    edges += [(i, i + 1) for i in range(1000, 1080)] + [(9000, i) for i in range(5000, 5100)] + [(2**62, -(2**62)), (4, 4)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = sorted(simhash.components(df, few=len(edges)).collect())
+    assert written == ["edges"]
+    assert few == sorted(simhash.components(df).collect()) and "stars" in written
+    assert sorted(simhash.components(df, few=100).collect()) == few  # more than few: by rounds
+    assert simhash.components(df.where("a = b"), few=100).count() == 0
+    written.clear()
+    kept = Counter(simhash.keep_one(odd_docs).collect())
+    assert "stars" not in written
+    assert Counter(simhash.keep_one(odd_docs, edges_most=0).collect()) == kept and "stars" in written
+
+
+def test_hot_keys_start_no_rows_of_python(spark, monkeypatch):
+    many = spark.range(2000).select(F.when(F.col("id") < 1500, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    one = many.groupBy("k").agg(F.min("id").alias("least"))
+    expected = Counter(many.join(one, "k").collect())
+
+    def never(*_, **__):
+        raise AssertionError("rows of Python")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", never)
+    assert Counter(common.spread_join(many, one, "k", 2000).collect()) == expected
+    assert common.spread_join(many.where("id >= 1500"), one, "k", 2000).count() == 500  # no hot key
+
+
 def test_one_of_each_group_stays(spark, odd_docs, odd_rows, no_docs):
     kept = simhash.keep_one(odd_docs).collect()
     assert Counter(simhash.keep_one(odd_docs, ends_most=0).collect()) == Counter(kept)  # texts picked by a shuffle
