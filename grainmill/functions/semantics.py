@@ -31,11 +31,11 @@ def global_agg(df: DataFrame, *aggregates: Column, empty: str = "none") -> DataF
     return df.groupBy(F.lit(0).alias("__all")).agg(*aggregates).drop("__all")
 
 
-def same_key(left: Column, left_type: T.DataType, right: Column, right_type: T.DataType) -> Column:
-    """Equality of join keys: a number meets a text by its decimal digits, so 1 meets '1' but not '01'."""
+def alike(left: Column, left_type: T.DataType, right: Column, right_type: T.DataType) -> tuple[Column, Column]:
+    """Join keys as they are compared: a number meets a text by its decimal digits, so 1 meets '1' but not '01'."""
     if isinstance(left_type, T.StringType) != isinstance(right_type, T.StringType):
         left, right = left.cast("string"), right.cast("string")
-    return left == right
+    return left, right
 
 
 def fit_bytes(c: Column, most: int) -> Column:

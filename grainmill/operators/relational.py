@@ -12,10 +12,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainmill.functions import semantics
 from grainmill.session import shared_folder
 
+#: Rows of either side in a cell of a join with many more pairs than rows; pairs for a row from which a join is such a one.
+SIDE, FAN_OUT = 2048, 8
+#: Sides below this size are joined uncounted: the pairs are in proportion to the other side.
+SMALL_BYTES = 16_384
+#: Tasks of such a join at most, and keys of many cells whose list is broadcast.
+MOST_TASKS, MOST_HOT = 50_000, 250_000
+
 
 def scan(df: DataFrame, alias: str) -> DataFrame:
     """The relation under an alias."""
@@ -57,27 +65,84 @@ def join_on(left: DataFrame, right: DataFrame, left_key: Column | str, right_key
     """Inner join on one equality; names or expressions as keys, in either order of sides.
 
     ``hint`` is one of Spark's strategies (broadcast, merge, shuffle_hash); by default
-    Catalyst and AQE choose by size.
+    Catalyst and AQE choose by size.  They know nothing of the pairs, so without a hint the pairs of two scans joined by
+    names are counted first, in a job of its own over the keys; where they are many more than the rows, they are dealt
+    over tasks (``_dealt``).
     """
     taken = [c for c in right.columns if c in left.columns]
     if taken:
         raise ValueError(f"AMBIGUOUS_REFERENCE: {', '.join(taken)} on both sides; give the sides aliases")
 
-    def side(key: Column | str) -> Column:
+    def side(key: Column | str) -> tuple[Column, DataFrame | None]:
         if not isinstance(key, str):
-            return key
+            return key, None
         for df in (left, right):
             try:
-                return column(df, key)
+                return column(df, key), df
             except ValueError as e:
                 if "AMBIGUOUS" in str(e):
                     raise
         raise ValueError(f"UNRESOLVED_COLUMN: {key}")
 
-    a, b = side(left_key), side(right_key)
-    right = right.hint(hint) if hint else right
+    (a, a_of), (b, b_of) = side(left_key), side(right_key)
     both = left.join(right, F.lit(False)).select(a.alias("a"), b.alias("b")).schema  # analysed only
-    return left.join(right, semantics.same_key(a, both["a"].dataType, b, both["b"].dataType), "inner")
+    a, b = semantics.alike(a, both["a"].dataType, b, both["b"].dataType)
+    if hint is None and a_of is not None and b_of is not None and a_of is not b_of:
+        keys = (a, b) if a_of is left else (b, a)
+        same = left.join(right, F.lit(False)).select(a.alias("a"), b.alias("b")).schema
+        if same["a"].dataType == same["b"].dataType and isinstance(same["a"].dataType, T.AtomicType) and all(_scanned(df) and _bytes(df) >= SMALL_BYTES for df in (left, right)):
+            dealt = _dealt(left, right, *keys)
+            if dealt is not None:
+                return dealt
+    return left.join(right.hint(hint) if hint else right, a == b, "inner")
+
+
+def _scanned(df: DataFrame) -> bool:
+    """Whether the rows are those of a table, projected and filtered: counting them costs a scan, not another join."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.deterministic() and plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.deterministic() and plan.children().isEmpty() and plan.getClass().getSimpleName() in ("LogicalRelation", "LocalRelation")
+
+
+def _bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _dealt(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame | None:
+    """The inner join with its pairs dealt over tasks, or None where they are few for the rows.
+
+    A key's pairs are cut into cells of about SIDE rows of either side (by hash: rows equal in every column stay together);
+    each row goes to all cells of its stripe, so SIDE pairs or more are made of each row that is shuffled, and no task
+    holds more than its cells.  The number of tasks follows the number of pairs, which AQE does not see.
+    """
+    counts = (
+        left.groupBy(left_key.alias("__key")).agg(F.count(F.lit(1)).alias("__left"))
+        .join(right.groupBy(right_key.alias("__key")).agg(F.count(F.lit(1)).alias("__right")), "__key")
+    )
+    of_key = F.col("__left").cast("double") * F.col("__right")
+    pairs, lefts, rights, hot = counts.agg(F.sum(of_key), F.sum("__left"), F.sum("__right"), F.count_if(of_key > SIDE * SIDE)).first()
+    if not pairs or pairs < max(SIDE * SIDE, FAN_OUT * (lefts + rights)):
+        return None
+    tasks = min(MOST_TASKS, max(4 * left.sparkSession.sparkContext.defaultParallelism, int(-(-pairs // (SIDE * SIDE)))))
+    cuts = counts.where(of_key > SIDE * SIDE).select("__key", *[F.ceil(F.col(c) / SIDE).cast("int").alias(f"{c}_cuts") for c in ("__left", "__right")])
+    cuts = F.broadcast(cuts) if hot <= MOST_HOT else cuts
+
+    def cells(df: DataFrame, key: Column, own: str, other: str) -> DataFrame:
+        """The rows with their key and cell: the own stripe by hash, every stripe of the other side."""
+        rows = df.where(key.isNotNull()).withColumn("__key", key)
+        rows = rows.join(cuts, "__key", "left") if hot else rows.withColumns({"__left_cuts": F.lit(1), "__right_cuts": F.lit(1)})
+        n, m = (F.coalesce(f"{c}_cuts", F.lit(1)) for c in (own, other))
+        hashed = F.xxhash64(*[f"`{f.name}`" for f in df.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)])
+        at = {own: F.pmod(hashed, n).cast("int"), other: F.explode(F.sequence(F.lit(0), m - 1))}
+        rows = rows.select(*[f"`{c}`" for c in df.columns], F.col("__key").alias(f"{own}_key"), *[c.alias(f"{own}_of{k}") for k, c in at.items()])
+        return rows.repartition(tasks, f"{own}_key", f"{own}_of__left", f"{own}_of__right")
+
+    a, b = cells(left, left_key, "__left", "__right"), cells(right, right_key, "__right", "__left")
+    met = [F.col(f"__left_{c}") == F.col(f"__right_{c}") for c in ("key", "of__left", "of__right")]
+    a, b = (a, b) if lefts >= rights else (b, a)  # the merge holds a cell's rows of the second, which are fewer
+    return a.join(b.hint("merge"), met, "inner").select(*[f"`{c}`" for c in (*left.columns, *right.columns)])
 
 
 @dataclass(frozen=True)

@@ -37,6 +37,45 @@ def test_join_strategies_agree(data, refs, hint):
     assert sorted((r.id, r.score) for r in joined.collect()) == [(i, i + 100) for i in range(1000)]
 
 
+def _sides(spark, folder, rows, keys="id % 2"):
+    for side, n in zip("ab", rows, strict=True):
+        spark.range(n).selectExpr(f"id AS {side}_id", f"{keys} AS {side}_key", "sha(cast(id AS string)) AS " + side + "_text").coalesce(1).write.parquet(f"{folder}/{side}")
+    return [spark.read.parquet(f"{folder}/{side}") for side in "ab"]
+
+
+def test_pairs_of_a_key_are_dealt_over_tasks(spark, tmp_path):
+    a, b = _sides(spark, tmp_path, (6000, 5000))
+    each = rel.join_on(a, b, "b_key", "a_key").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("a_id").alias("a"), F.sum("b_id").alias("b")).collect()
+    assert sum(r.n for r in each) == 2 * 3000 * 2500
+    assert max(r.n for r in each) < sum(r.n for r in each) / 3  # one file a side: all were in one task, or in one a key
+    assert (sum(r.a for r in each), sum(r.b for r in each)) == (2500 * sum(range(6000)), 3000 * sum(range(5000)))
+
+
+@pytest.mark.parametrize("keys", ["if(id % 10 = 0, null, id % 3)", "cast(id % 3 AS string)", "if(id % 3 = 0, double('NaN'), -0.0 * (id % 2))", "if(id < 900, 0, id)"])
+def test_dealt_pairs_are_those_of_the_join(spark, tmp_path, monkeypatch, keys):
+    for name, value in (("SIDE", 50), ("FAN_OUT", 2), ("SMALL_BYTES", 1)):
+        monkeypatch.setattr(rel, name, value)
+    a, b = _sides(spark, tmp_path, (1000, 301), keys)
+    expected = rel.join_on(a.union(a.limit(0)), b, "a_key", "b_key")  # a union is not a plain scan
+    got = rel.join_on(a, b, "a_key", "b_key")
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString() and "__left" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__left" not in expected._jdf.queryExecution().optimizedPlan().toString() and got.columns == expected.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect())) != []
+    few = rel.join_on(a, b, "a_id", "b_id")
+    assert "__left" not in few._jdf.queryExecution().optimizedPlan().toString() and few.count() == 301
+
+
+def test_dealt_pairs_of_equal_rows_and_mixed_keys(spark, tmp_path, monkeypatch):
+    for name, value in (("SIDE", 20), ("FAN_OUT", 2), ("SMALL_BYTES", 1)):
+        monkeypatch.setattr(rel, name, value)
+    spark.range(300).selectExpr("id % 4 AS n").coalesce(1).write.parquet(f"{tmp_path}/n")
+    spark.range(200).selectExpr("concat(if(id % 5 = 4, '0', ''), id % 4) AS t", "id % 7 AS x").coalesce(1).write.parquet(f"{tmp_path}/t")
+    got = rel.join_on(spark.read.parquet(f"{tmp_path}/n"), spark.read.parquet(f"{tmp_path}/t"), "t", "n")
+    assert "__left" in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(i % 4, ("0" if i % 5 == 4 else "") + str(i % 4), i % 7) for i in range(200)]
+    assert sorted(map(tuple, got.collect())) == sorted((n, t, x) for n, t, x in rows if t == str(n) for _ in range(75))
+
+
 def test_filters_reach_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_size between 5 and 9").select("p_partkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
